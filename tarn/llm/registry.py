@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, lines, packing, rules
 from .common import table
 
 
@@ -23,8 +23,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op7_rules, op8_lines, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
