@@ -77,3 +77,12 @@ def mix32(x: np.ndarray) -> np.ndarray:
     x *= np.uint32(0xC2B2AE35)
     x ^= x >> np.uint32(16)
     return x
+
+
+#: Rows of a few longs that may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df (narrow, already durable) marked for broadcast if it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing, rules
+from . import bpe, lines, minhash, packing, rules
 from .common import table
 
 
@@ -31,8 +31,12 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op7_rules, op8_lines, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_minhash, op7_rules, op8_lines, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
