@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, minhash, packing, rules, substring
+from . import bpe, embeddings, lines, minhash, packing, pii, rules, substring
 from .common import table
 
 
@@ -43,8 +43,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_minhash, op4_substring, op5_embeddings, op7_rules, op8_lines, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_minhash, op3_pii, op4_substring, op5_embeddings, op7_rules, op8_lines, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
