@@ -22,3 +22,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> li
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
     rows = rows.groupBy("doc_id").agg(F.first("order").alias("order"), F.first("label").alias("label"), F.min("text").alias("text"))
     return [(r["text"] or "", int(r["label"])) for r in rows.orderBy("order", "doc_id").collect()]
+
+
+def shares(labels: DataFrame, label: str) -> dict[int, float]:
+    """How the labels that may be learned from split into 0 and 1, over all of them."""
+    rows = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy(label).count().collect()  # two rows
+    total = sum(r["count"] for r in rows)
+    return {int(r[label]): r["count"] / total for r in rows}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, minhash, packing, pii, rules, substring, toxicity
+from . import bpe, embeddings, lines, minhash, packing, pii, quality, rules, substring, toxicity
 from .common import table
 
 
@@ -51,8 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_minhash, op3_pii, op4_substring, op5_embeddings, op7_rules, op8_lines, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_minhash, op3_pii, op4_substring, op5_embeddings, op6_quality, op7_rules, op8_lines, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
