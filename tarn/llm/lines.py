@@ -37,13 +37,13 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where("not near").select("hash", "first").unionByName(near.join(exact.select("hash"), "hash", "left_semi"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", counts: bool = True) -> DataFrame:
     """docs with `text` less its repeated boilerplate lines, and after all columns of docs n_lines and n_removed.
 
     A line is what newlines part; lines are equal if they are so without white space at their ends; blank lines are never
     boilerplate. The first occurrence (least id, then place) of a boilerplate line stays. A null site is a site of its
     own; a null id comes last; a null text has no lines and stays null. Rows that share an id are taken for the same
-    document. Columns of docs that are named like the added ones are replaced.
+    document. Columns of docs that are named like the added ones are replaced; without `counts` none are added.
     """
     lines = line_rows(docs, text, site, doc_id)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
@@ -55,9 +55,10 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "t
         .groupBy("id")
         .agg(F.collect_set("pos").alias("_gone"))
     )
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     every = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     joined = docs.select(*columns).withColumn("_id", id_or_last(doc_id)).join(gone.withColumnRenamed("id", "_id"), "_id", "left")
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
     n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(every)).cast("long")
-    return joined.select(*(left.alias(c) if c == text else F.col(c) for c in columns), n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    added = [n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*(left.alias(c) if c == text else F.col(c) for c in columns), *(added if counts else ()))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_or_last, id_or_null, mix32, mix64, small, texts_of
+from .common import NULL_ID, durable, id_or_last, id_or_null, mix32, mix64, small, texts_of
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -144,3 +144,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     known = classes.select("digest", "rep").join(whole.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "digest").join(known, "digest", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(id_or_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_or_null(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, with all columns of docs, whatever their names.
+
+    The one with the least id stays; of rows with the same id and text one stays. Texts without words all stay.
+    """
+    kept = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), id_or_last(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"))
+    return whole.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -124,3 +124,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     far = (F.coalesce("js_classes", F.lit(0.0)) > max_classes) | (F.coalesce("js_common", F.lit(0.0)) > max_common)
     return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "js_classes", "js_common")
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns, whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_of"))
+    return judge(whole, "_text", "_of", ("_row",), **limits).where("kept").select("_row.*")
