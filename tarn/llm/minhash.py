@@ -6,9 +6,8 @@ permutation of its own). Coordinates are grouped into bands; documents that agre
 
 Texts with equal shingle sets form a class, and one member stands for it from there on, so copies cost nothing. In a
 bucket every member is first verified against the bucket's least member only; the links so confirmed join most of a
-bucket. What is left, pairs of one bucket that are still in different components, is verified in a second round, less
-those that the triangle inequality for Jaccard distance rules out. No bucket is gathered and no pair of one component
-is looked at twice.
+bucket. In a second round the members outside the bucket's main component meet the rest of it, in blocks of bounded
+size that compare whole shingle sets and return links alone: no bucket is gathered and pairs are never written out.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ ROWS, BANDS = 6, 42
 SHIFT = 0x9E3779B1
 #: Shingles that are ranked at a time.
 BLOCK = 1 << 16
+#: Members of one bucket that a block of the second round holds on either side.
+CHUNK = 512
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -103,6 +104,84 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, both bigint, na bigint, nb bigint")
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, text -> rep, hashes (the sorted shingle set)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, k).view(np.int64) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "hashes"])
+
+    return texts.mapInArrow(run, "rep bigint, hashes array<bigint>")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, a row per left set."""
+    words = np.unique(np.concatenate(left))
+    every, owner = np.concatenate(right), np.repeat(np.arange(len(right)), [len(r) for r in right])
+    at = np.minimum(np.searchsorted(words, every), len(words) - 1)
+    known = words[at] == every
+    at, owner = at[known], owner[known]
+    out, mark = np.empty((len(left), len(right)), np.int64), np.zeros(len(words), bool)
+    for i, x in enumerate(left):
+        mark[:] = False
+        mark[np.searchsorted(words, x)] = True
+        out[i] = np.bincount(owner[mark[at]], minlength=len(right))
+    return out
+
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets with c, main, size, others and hashes -> links (a, b) between members of different components.
+
+    Members outside the bucket's main component meet all others of the bucket, in blocks of at most CHUNK of the former and
+    about CHUNK of the latter; a large bucket is many blocks. Per member and component that it meets, one link is returned.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("rep"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    kept = ["rep", "c", "hashes"]
+    left = rows.where("c <> main").select("bucket", of("others").alias("i"), every("size").alias("j"), F.lit(0).alias("side"), *kept)
+    right = rows.select("bucket", every("others").alias("i"), of("size").alias("j"), F.lit(1).alias("side"), *kept)
+    blocks = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def block(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks()
+        side, rep, c = (t.column(n).to_numpy() for n in ("side", "rep", "c"))
+        lists = t.column("hashes").chunk(0)
+        values, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sets = [values[x:y] for x, y in zip(edges[:-1], edges[1:])]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return None
+        both, n = intersections([sets[i] for i in left], [sets[i] for i in right]), np.diff(edges)
+        close = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (c[left][:, None] != c[right][None, :])
+        x, y = np.nonzero(close)
+        if not len(x):
+            return None
+        _, one = np.unique(np.stack([rep[left[x]], c[right[y]]]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(rep[left[x[one]]]), pa.array(rep[right[y[one]]])], ["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy() for n in ("bucket", "i", "j")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                this = tuple(keys[low].tolist())
+                if this != key and held:
+                    if out := block(held):
+                        yield out
+                    held = []
+                key = this
+                held.append(batch.slice(low, high - low))
+        if held and (out := block(held)):
+            yield out
+
+    return blocks.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -123,22 +202,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     texts = durable(body.join(small(ids), "id", "left_semi"), "texts")
 
     stars = members.where(F.col("rep") != F.col("center")).where(fits(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    first = durable(verified(stars, texts, k), "verified")
-    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    links = first.where(linked).select("a", "b")
-    label = components(links)
-
-    far = first.select(F.col("a").alias("center"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    far = far.groupBy("center", "rep").agg(F.min("d").alias("d"), F.max("d").alias("high")).where("d = high").drop("high")
-    parted = members.join(label.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    parted = parted.join(far, ["center", "rep"], "left")
-    mixed = parted.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    parted = durable(parted.where("rep <> center").join(mixed, "bucket", "left_semi").select("bucket", "rep", "n", "c", "d"), "parted")
-    slack = 1 - percent / 100 + 1e-9
-    x, y = parted.alias("x"), parted.alias("y")
-    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= slack, F.lit(True))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = durable(verified(rest, texts, k).where(linked).select("a", "b"), "verified")
+    label = components(verified(stars, texts, k).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+
+    parted = members.where("rep <> center").join(label.toDF("rep", "c"), "rep", "left").select("bucket", "rep", F.coalesce("c", "rep").alias("c"))
+    lead = parted.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket")
+    lead = lead.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
+    parted = durable(parted.join(lead, "bucket"), "parted")
+    sets = durable(shingle_sets(texts.join(small(parted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), k), "sets")
+    second = durable(block_links(parted.join(sets, "rep"), percent).distinct(), "verified")
     # links of the second round join components of the first
     whole = components(label.toDF("a", "b").union(second))
     known = classes.select("digest", "rep").join(whole.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
