@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, minhash, packing, pii, quality, rules, substring, toxicity
+from . import bpe, embeddings, lines, minhash, packing, pii, quality, rules, sql, substring, toxicity
 from .common import table
 
 
@@ -24,7 +25,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents"))
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("js_classes", "js_common")})
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash": sql.OP2, "op4_substring": sql.OP4, "op5_embeddings": sql.OP5, "op7_rules": sql.OP7, "op8_lines": sql.OP8}
