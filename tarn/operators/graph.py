@@ -126,6 +126,21 @@ def impact(graph: Graph, seeds: DataFrame, depth: int = 10, edge_types: list[str
     return by_type.unionByName(total)
 
 
+def match(graph: Graph, *pattern) -> DataFrame:
+    """Nodes along a chain of types: match(g, "part", ("supplied_by", OUT), "supplier", ("in", OUT), "nation") -> n0, n1, n2 (ids).
+
+    A type or edge type of None is any. Each chain of nodes is returned once, whatever the number of parallel edges.
+    """
+    of_type = lambda t, name: (graph.nodes if t is None else graph.nodes.where(F.col("node_type") == t)).select(F.col("id").alias(name))
+    found = of_type(pattern[0], "n0")
+    for i in range(1, len(pattern), 2):
+        edge_type, direction = pattern[i]
+        n, before = f"n{(i + 1) // 2}", f"n{(i - 1) // 2}"
+        arcs = graph.arcs(direction, None if edge_type is None else [edge_type]).select(F.col("src").alias(before), F.col("dst").alias(n)).distinct()
+        found = found.join(arcs, before).join(of_type(pattern[i + 1], n), n)
+    return found.select(*(f"n{i}" for i in range((len(pattern) + 1) // 2)))
+
+
 def compacted(graph: Graph, table: str, buckets: int = 64) -> Graph:
     """The graph with its edges in a table bucketed and sorted by source: later shuffled joins on src leave the edges where they are."""
     graph.edges.write.bucketBy(buckets, "src").sortBy("src").mode("overwrite").saveAsTable(table)

@@ -88,6 +88,11 @@ def scan_page(kv: DataFrame, after: str | None, count: int, now_ms: int, pattern
     return found.orderBy("key", "db").limit(count).select(*KEY, "value")
 
 
+def scan_values(kv: DataFrame, prefix: str, count: int, now_ms: int) -> DataFrame:
+    """The first `count` live keys with a prefix, with values; the prefix reaches the scan."""
+    return live_keys(kv, now_ms).where(F.col("key").startswith(prefix)).orderBy("key", "db").limit(count).select(*KEY, "value")
+
+
 def any_key(kv: DataFrame, now_ms: int, seed: int = 0) -> DataFrame:
     """One live key, drawn by a seeded hash."""
     return live_keys(kv, now_ms).orderBy(F.xxhash64(F.lit(seed), *KEY), *KEY).limit(1).select(*KEY, "value")

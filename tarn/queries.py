@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import extensions, graph, graph_writes, hashes, kv, lists, paths, sets, vectors, zsets
+from .operators import extensions, graph, graph_writes, hashes, kv, lists, paths, sets, streams, transactions, vectors, zsets
 from .sources import domain as D
 from .sources import ingest
 
@@ -125,6 +125,19 @@ def kv_scan(spark, sf_dir):
     return kv.scan_page(state(spark, sf_dir), "u:12", 20, D.NOW_MS)
 
 
+@query(f"WITH {KV_SQL} SELECT db, key, value FROM live WHERE key LIKE 'u:1%' ORDER BY key, db LIMIT 15")
+def kv_scan_values(spark, sf_dir):
+    return kv.scan_values(state(spark, sf_dir), "u:1", 15, D.NOW_MS)
+
+
+@query(f"""WITH {D.log_sql(WRITES)}, v AS (SELECT db, key, max(seq) AS version FROM log GROUP BY ALL), w AS (SELECT o_orderkey AS txn, CAST(o_custkey % 4 AS INTEGER) AS db, 'u:' || o_custkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS version FROM orders)
+SELECT txn FROM w LEFT JOIN v USING (db, key) WHERE w.version IS NOT DISTINCT FROM v.version""")
+def transactions_admitted(spark, sf_dir):
+    """Orders as transactions that watch their customer's key: admitted if it still has the version they saw."""
+    watched = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), (F.col("o_custkey") % 4).cast("int").alias("db"), F.concat(F.lit("u:"), "o_custkey").alias("key"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).alias("version"))
+    return transactions.admitted(D.log(spark, sf_dir, WRITES), watched)
+
+
 @query(f"""WITH {KV_SQL}, a AS (SELECT k.*, l.last_access FROM kv k JOIN (SELECT db, key, max(ts_ms) AS last_access FROM log GROUP BY ALL) l USING (db, key)),
 b AS (SELECT *, sum(strlen(value) + strlen(key) + 56) OVER (ORDER BY last_access DESC, key DESC, db DESC) AS run FROM a) SELECT db, key, last_access FROM b WHERE run <= {BUDGET}""")
 def kv_evict(spark, sf_dir):
@@ -209,9 +222,41 @@ def list_arrays(spark, sf_dir):
     return whole.select("db", "key", F.array_join(C.list_range(F.col("items"), 1, 3), ",").alias("part"), C.list_index(F.col("items"), -1).alias("last"))
 
 
+# streams
+
+STREAM_SQL = f"""{D.log_sql()}, entries AS (SELECT db, key, ts_ms AS ms, row_number() OVER (PARTITION BY db, key, ts_ms ORDER BY seq) - 1 AS nth, value AS fields FROM log)"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.appended(D.log(spark, sf_dir).withColumn("fields", F.col("value")))
+
+
+@query(f"WITH {STREAM_SQL} SELECT db, key, ms, nth, fields FROM entries WHERE ms BETWEEN {D.NOW_MS - D.DAY_MS} AND {D.NOW_MS}")
+def stream_range(spark, sf_dir):
+    return streams.between(entries(spark, sf_dir), D.NOW_MS - D.DAY_MS, D.NOW_MS)
+
+
+@query(f"WITH {STREAM_SQL} SELECT db, key, count(*) AS n FROM entries GROUP BY db, key")
+def stream_len(spark, sf_dir):
+    return streams.lengths(entries(spark, sf_dir))
+
+
+@query(f"""WITH {STREAM_SQL}, {D.WANTED_SQL}, r AS (SELECT e.*, row_number() OVER (PARTITION BY db, key ORDER BY ms, nth) AS place FROM entries e JOIN wanted w USING (db, key) WHERE ms > {D.NOW_MS})
+SELECT db, key, ms, nth, fields, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+def stream_read(spark, sf_dir):
+    positions = D.wanted(spark, sf_dir).select("db", "key", F.lit(D.NOW_MS).alias("after_ms"), F.lit(10**6).alias("after_nth"))
+    return streams.read_after(entries(spark, sf_dir), positions, 3)
+
+
 # hashes
 
 
+@query(f"""WITH {D.HASH_SQL} SELECT db, key, count(*) AS n FROM (SELECT DISTINCT db, key, op AS field FROM log) w WHERE field IN ('click', 'view') GROUP BY db, key""")
+def hash_new_fields(spark, sf_dir):
+    log = D.hash_log(spark, sf_dir)
+    return hashes.new_fields(hashes.written(log.where("field not in ('click', 'view')")), log)
+
+
 @query(f"WITH {D.HASH_SQL} SELECT db, key, field, value FROM fields")
 def hash_set(spark, sf_dir):
     return hashes.written(D.hash_log(spark, sf_dir))
@@ -372,6 +417,25 @@ def graph_common(spark, sf_dir):
     return graph.common_neighbors(g, pairs, graph.IN)
 
 
+@query(f"""WITH {D.graph_sql(GOODS)} SELECT DISTINCT p.id AS n0, s.id AS n1, n.id AS n2 FROM nodes p JOIN edges a ON a.src = p.id AND a.edge_type = 'supplied_by' JOIN nodes s ON s.id = a.dst AND s.node_type = 'supplier'
+JOIN edges b ON b.src = s.id JOIN nodes n ON n.id = b.dst AND n.node_type = 'nation' WHERE p.node_type = 'part'""")
+def graph_match(spark, sf_dir):
+    return graph.match(D.graph(spark, sf_dir, GOODS), "part", ("supplied_by", graph.OUT), "supplier", (None, graph.OUT), "nation")
+
+
+@query(f"""WITH {D.graph_sql(PLACES)}, hit AS (SELECT id FROM nodes WHERE node_type IN ('nation', 'region')) SELECT src, dst, edge_type, weight FROM edges WHERE src IN (SELECT id FROM hit) AND dst IN (SELECT id FROM hit)""")
+def graph_subgraph(spark, sf_dir):
+    g = D.graph(spark, sf_dir, PLACES)
+    return vectors.subgraph(g, g.nodes.where("node_type in ('nation', 'region')").select("id"))
+
+
+@query(f"""WITH {D.graph_sql(PLACES)} SELECT src, dst, edge_type, weight FROM edges UNION ALL SELECT a.id, b.id, 'likes', CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 1.0 END FROM supplier JOIN nodes a ON a.key = 'supplier:' || s_suppkey JOIN nodes b ON b.key = 'customer:' || s_suppkey""")
+def graph_addedge(spark, sf_dir):
+    g = D.graph(spark, sf_dir, PLACES)
+    new = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("from_key"), F.concat(F.lit("customer:"), "s_suppkey").alias("to_key"), F.lit("likes").alias("edge_type"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("weight"))
+    return graph_writes.add_edges(g, new).edges.select("src", "dst", "edge_type", "weight")
+
+
 @query(REACH_SQL.format(graph=D.graph_sql(GOODS), seed="node_type = 'part'", step="e.src = w.id", to="e.dst", depth=10, more="") + """, t AS (SELECT h.seed, n.node_type AS type_name, count(*) AS n FROM hit h JOIN nodes n USING (id) WHERE h.depth > 0 GROUP BY ALL)
 SELECT seed, type_name, n FROM t UNION ALL SELECT p.id, 'total', CAST(coalesce(sum(t.n), 0) AS BIGINT) FROM (SELECT id FROM nodes WHERE node_type = 'part') p LEFT JOIN t ON t.seed = p.id GROUP BY p.id""")
 def graph_impact(spark, sf_dir):
