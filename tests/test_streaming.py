@@ -32,3 +32,21 @@ def test_log_stream(spark, tmp_path):
     query = state.writeStream.outputMode("complete").format("memory").queryName("tarn_latest").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("tarn_latest").collect())) == [(0, "a", "2"), (0, "b", None)]
+
+
+def test_expiry(spark, tmp_path):
+    from tarn.streaming.expiry import expired
+
+    schema = "seq bigint, ts_ms bigint, db int, key string, op string, ttl_ms bigint"
+    batches = [
+        [(1, 1000, 0, "a", "SET", 5000), (2, 1000, 0, "b", "SET", 5000), (3, 1500, 0, "c", "SET", None)],
+        [(4, 2000, 0, "b", "PERSIST", None), (5, 2500, 0, "c", "EXPIRE", 1000)],
+        [(6, 60_000, 0, "d", "SET", None)],
+        [(7, 61_000, 0, "d", "SET", None)],
+    ]
+    source = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        run = expired(pubsub.message_stream(spark, str(source), schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(0, "a", 6000), (0, "c", 3500)]
