@@ -1,15 +1,16 @@
-"""What the corpus operators share: reading tables, durable intermediates, hashing in numpy."""
+"""What the corpus operators share: reading tables, ids, hashing in numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable, hinted
+
+__all__ = ["NULL_ID", "WHITE", "WORD_GAP", "durable", "id_or_last", "id_or_null", "mix32", "mix64", "small", "table", "texts_of"]
+
 #: Stands for a null id wherever ids are compared or joined; such rows sort last.
 NULL_ID = 2**63 - 1
 #: The white space that separates words, as a pattern and as the characters themselves.
@@ -21,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-            found = sc.getCheckpointDir()
-    return found
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return a scan of it: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def id_or_last(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -79,10 +59,6 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Rows of a few longs that may be broadcast: some tens of megabytes at most.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df (narrow, already durable) marked for broadcast if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    return hinted(df, df.count() if rows is None else rows)

@@ -1,36 +1,5 @@
-"""Connected components of a link table by contraction: hook every node to its least neighbour, shorten, merge, repeat."""
+"""Connected components, as the graph operators have them."""
 
-from __future__ import annotations
+from ..operators.extensions import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import durable, small
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b: bigint, any order, repeats and loops allowed) -> (node, component: least node reachable), a row per node.
-
-    Every round maps each node to the least of itself and its neighbours, follows that map three more steps and replaces
-    the ends of all links by where they lead; a chain of n nodes shrinks by the factor of eight a round. All links stay
-    in Spark. Minima are aggregated before they are shuffled, so a node with very many links does no harm; the map meets
-    the links in a broadcast while it is small, else in a join whose skewed keys Spark splits. An empty table gives an empty one.
-    """
-    edges = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    labels = None
-    while not edges.isEmpty():
-        ends = edges.union(edges.select("b", "a")).toDF("node", "near")
-        step = durable(ends.groupBy("node").agg(F.least("node", F.min("near")).alias("to")), "hooks")
-        n = step.count()
-        for _ in range(2):
-            onward = small(step.toDF("to", "further"), n)
-            step = step.join(onward, "to").select("node", F.col("further").alias("to"))
-        step = durable(step, "parents")
-        if labels is None:
-            labels = step.toDF("node", "component")
-        else:
-            labels = labels.join(small(step.toDF("component", "to"), n), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            labels = durable(labels, "labels")
-        edges = edges.join(small(step.toDF("a", "x"), n), "a").join(small(step.toDF("b", "y"), n), "b")
-        edges = durable(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "links")
-    return links.sparkSession.createDataFrame([], "node bigint, component bigint") if labels is None else labels
+__all__ = ["components"]
