@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import numbered
+
 KEY = ["db", "key"]
 
 
@@ -23,13 +25,9 @@ def admitted(log: DataFrame, watched: DataFrame) -> DataFrame:
 def committed(log: DataFrame, queued: DataFrame, watched: DataFrame, after: int) -> DataFrame:
     """Rows to append: queued (txn, nth, and the log's columns but seq) of transactions that may go, numbered from after + 1.
 
-    All transactions are judged against the same log. A transaction's rows stay together and in order: seq is its first
-    number (a running sum over the transactions' sizes, one row each) plus nth.
+    All transactions are judged against the same log. Rows are numbered in order of transaction, then place, so those of one
+    transaction are contiguous.
     """
-    from pyspark.sql import Window
-
     blocked = watched.select("txn").distinct().join(admitted(log, watched), "txn", "left_anti")
-    rows = queued.join(blocked, "txn", "left_anti")
-    sizes = rows.groupBy("txn").agg((F.max("nth") + 1).alias("n"))
-    first = sizes.withColumn("_first", F.sum("n").over(Window.orderBy("txn")) - F.col("n") + after + 1).drop("n")
-    return rows.join(first, "txn").withColumn("seq", (F.col("_first") + F.col("nth")).cast("long")).drop("_first", "nth")
+    rows = numbered(queued.join(blocked, "txn", "left_anti").withColumn("_all", F.lit(0)), ["_all"], [F.col("txn"), F.col("nth")], "seq")
+    return rows.withColumn("seq", F.col("seq") + after + 1).drop("_all", "nth")
