@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, id_or_last
+from .common import WHITE, durable, id_or_last, small
 
 MIN_SITES = 8
 #: Estimates within this fraction of the threshold are near it; the sketches' standard error is about a quarter of that.
@@ -32,8 +32,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """hash and first (struct of id and pos) of every line that stands on `min_sites` sites or more."""
     spread = lines.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"))
     spread = spread.where(F.col("sites") >= min_sites * (1 - NEAR)).select("hash", "first", (F.col("sites") <= min_sites * (1 + NEAR)).alias("near"))
+    spread = durable(spread, "spread")
     near = spread.where("near").select("hash", "first")
-    exact = lines.join(near.select("hash"), "hash", "left_semi").groupBy("hash", "site").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    # a line's sites are made distinct before the shuffle
+    exact = lines.join(small(near.select("hash")), "hash", "left_semi").groupBy("hash", "site").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     return spread.where("not near").select("hash", "first").unionByName(near.join(exact.select("hash"), "hash", "left_semi"))
 
 
