@@ -157,7 +157,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
     n = owners.count()
     rows = rows.join(small(owners, n), "digest", "left").withColumn("copy", F.coalesce(F.col("id") != F.col("owner"), F.lit(False))).drop("owner")
     updates = rows.where("digest is not null and not copy").select("id", F.explode("cells").alias("cell"))
-    twice = updates.groupBy("cell").agg(F.count("*").alias("count")).where("count > 1").select("cell")
+    # written, so that the join with it can split the updates of a cell that very many documents share
+    twice = durable(updates.groupBy("cell").agg(F.count("*").alias("count")).where("count > 1").select("cell"), "twice")
     marked = durable(updates.join(twice, "cell").groupBy("id").agg(F.collect_set("cell").alias("cells")), "marked")
     texts = body.join(small(marked.select("id")), "id", "left_semi")
     hot = durable(texts.join(marked, "id"), "suspects")
