@@ -94,20 +94,32 @@ def unit(vector) -> np.ndarray | None:
     return x / math.sqrt(x @ x)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Usable vectors as rows scaled to norm 1 in double precision, short ones padded with zeros; and their dimensions."""
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    edges = lists.offsets.to_numpy()
+    d = np.diff(edges)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)[edges[0] : edges[-1]]
+    x = np.zeros((len(d), d.max(initial=0)))
+    x[np.arange(x.shape[1]) < d[:, None]] = values
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), d
+
+
 def hashed(vectors: DataFrame, scheme: CrossPolytope) -> DataFrame:
-    """Per distinct vector rep, count, unit vector (array of double) -> with buckets (flat, tables by 1 + NEXT * k)."""
+    """Per distinct vector rep, count, vec -> with buckets (flat, tables by 1 + NEXT * k)."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("vec").to_pylist()
-            keys: list = [None] * len(lists)
-            for d in {len(v) for v in lists}:
-                at = [i for i, v in enumerate(lists) if len(v) == d]
-                for i, row in zip(at, scheme.buckets(np.array([lists[i] for i in at])).reshape(len(at), -1)):
+            x, dims = matrix(batch.column("vec"))
+            keys: list = [None] * len(x)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                for i, row in zip(at.tolist(), scheme.buckets(x[at, :d]).reshape(len(at), -1)):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("count"), batch.column("vec"), pa.array(keys, pa.list_(pa.int64()))], ["rep", "count", "vec", "buckets"])
 
-    return vectors.select("rep", "count", "vec").mapInArrow(run, "rep bigint, count bigint, vec array<double>, buckets array<bigint>")
+    return vectors.select("rep", "count", "vec").mapInArrow(run, f"rep bigint, count bigint, vec {vectors.schema['vec'].dataType.simpleString()}, buckets array<bigint>")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,11 +166,11 @@ def linked(members: DataFrame, scheme: CrossPolytope, least_cosine: float) -> Da
     def block(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
         rep, count, home, chunk = (t.column(c).to_numpy() for c in ("rep", "count", "home", "chunk"))
-        x = np.array(t.column("vec").to_pylist())
+        x, dims = matrix(t.column("vec"))
         ci, cj, bucket = t.column("ci")[0].as_py(), t.column("cj")[0].as_py(), t.column("bucket")[0].as_py()
         left = np.flatnonzero(chunk == ci)
         right = left if ci == cj else np.flatnonzero(chunk == cj)
-        if not home.any() or not len(left) or not len(right):
+        if not home.any() or not len(left) or not len(right) or (dims != dims[0]).any():  # a bucket's number names its dimension
             return None
         order = np.argsort(rep, kind="stable")  # places in order of rep, so that the least place is the least rep
         rank = np.empty(len(rep), np.int64)
@@ -206,9 +218,11 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str =
         for batch in batches:
             units = [unit(v) for v in batch.column("vec").to_pylist()]
             marks = [None if u is None else hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["id", "digest", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.binary()), batch.column("vec")], ["id", "digest", "vec"])
 
-    rows = vectors.select(id_or_last(vec_id).alias("id"), F.col(embedding).alias("vec")).mapInArrow(digest, "id bigint, digest binary, vec array<double>")
+    # vectors of floats are sent about as floats; all that is computed from them is in double precision
+    kind = "float" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select(id_or_last(vec_id).alias("id"), F.col(embedding).cast(f"array<{kind}>").alias("vec")).mapInArrow(digest, f"id bigint, digest binary, vec array<{kind}>")
     rows = durable(rows, "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("count"), F.first("vec").alias("vec"))
     classes = durable(classes, "distinct")
