@@ -81,9 +81,15 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """v scaled to length 1; the zero vector as it is."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """v scaled to length 1; the zero vector as it is. The norm is bound to a variable, so it is computed once, not per element."""
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))[0]
+
+
+def similarity(v: Column, query: list[float]) -> Column:
+    """Cosine of v and a query in double precision; 0 where either is zero."""
+    size = sum(x * x for x in map(float, query)) ** 0.5
+    unit = F.array(*(F.lit(float(x) / size if size else 0.0) for x in query))
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, dot(v, unit) / n).otherwise(0.0))[0]
 
 
 def memory_score(similarity: Column, age: Column, half_life: float, importance: Column, uses: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot, memory_score, normalized
+from ..functions.columns import memory_score, similarity
 from ..plans.durable import durable, hinted
 from .graph import BOTH, OUT, Graph
 
@@ -77,14 +77,14 @@ def cache_lookup(cache: DataFrame, query: list[float], now_ms: int, threshold: f
     live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now_ms)).where(F.size("vec") == len(query))
     if tag is not None:
         live = live.where(F.col("tag") == tag)
-    score = dot(normalized(F.col("vec")), normalized(F.array(*(F.lit(float(x)) for x in query))))
+    score = similarity(F.col("vec"), query)
     return live.select("entry", "answer", score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "entry").limit(1)
 
 
 def recall(memories: DataFrame, query: list[float], now_ms: int, k: int, half_life_ms: float) -> DataFrame:
     """memories (memory, vec, importance, uses, at_ms) -> the k of highest score: similar, recent, important, used."""
-    similarity = dot(normalized(F.col("vec")), normalized(F.array(*(F.lit(float(x)) for x in query))))
-    scored = memories.where(F.size("vec") == len(query)).select("memory", memory_score(similarity, F.lit(now_ms) - F.col("at_ms"), half_life_ms, F.col("importance"), F.col("uses")).alias("score"))
+    near = similarity(F.col("vec"), query)
+    scored = memories.where(F.size("vec") == len(query)).select("memory", memory_score(near, F.lit(now_ms) - F.col("at_ms"), half_life_ms, F.col("importance"), F.col("uses")).alias("score"))
     return scored.orderBy(F.desc("score"), "memory").limit(k)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot, normalized
+from ..functions.columns import normalized, similarity
 from .graph import OUT, Graph, traverse
 
 #: Queries whose matrix is sent to every task at a time; more are searched block by block.
@@ -22,8 +22,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int, field: str | None =
     """The k vectors nearest to one query: node_id, score; each task keeps k rows, so nothing is sorted whole."""
     if field is not None:
         vectors = vectors.where(F.col("field") == field)
-    wanted = normalized(F.array(*(F.lit(float(x)) for x in query)))
-    scored = vectors.where(F.size("vec") == len(query)).select("node_id", dot(normalized(F.col("vec")), wanted).alias("score"))
+    scored = vectors.where(F.size("vec") == len(query)).select("node_id", similarity(F.col("vec"), query).alias("score"))
     return scored.orderBy(F.desc("score"), "node_id").limit(k)
 
 
