@@ -131,13 +131,12 @@ def first_write(log: DataFrame) -> DataFrame:
     return first.select(*KEY, F.col("w.value").alias("value"), (F.col("w.ts_ms") + F.col("w.ttl_ms")).alias("expires_at"))
 
 
-def starts(log: DataFrame) -> DataFrame:
-    """log with start: the seq of the row that last set the key's whole state (SET, DEL, or a SETNX that found none)."""
+def resolved(log: DataFrame) -> DataFrame:
+    """Rows that write, each SETNX that found no key as SET and the others left out."""
     made = F.when(F.col("op") == "DEL", F.lit(0)).otherwise(F.lit(1))
     log = carried(log.where("op in ('SET', 'SETNX', 'DEL', 'INCRBY', 'APPEND')"), KEY, "seq", made, "_was", include_self=False)
     fresh = (F.col("op") == "SETNX") & (F.coalesce("_was", F.lit(0)) == 0)
-    log = log.withColumn("op", F.when(fresh, "SET").otherwise(F.col("op"))).where("op <> 'SETNX'").drop("_was")
-    return carried(log, KEY, "seq", F.when(F.col("op").isin("SET", "DEL"), F.col("seq")), "start")
+    return log.withColumn("op", F.when(fresh, "SET").otherwise(F.col("op"))).where("op <> 'SETNX'").drop("_was")
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -147,8 +146,8 @@ def fold(log: DataFrame) -> DataFrame:
     aggregation. Counters and appended values have no expiry, as a rewrite drops it. Expiry counts when the state is read; a
     log in which keys expire between writes, or which mixes INCRBY and APPEND on one value, is for `replay`.
     """
-    rows = starts(log)
-    last = rows.groupBy(*KEY).agg(F.max("start").alias("last"), F.max("seq").alias("write"))
+    rows = resolved(log)
+    last = rows.groupBy(*KEY).agg(F.max(F.when(F.col("op").isin("SET", "DEL"), F.col("seq"))).alias("last"), F.max("seq").alias("write"))
     tail = rows.join(last, KEY).where(F.coalesce(F.col("seq") >= F.col("last"), F.lit(True)))
     state = tail.groupBy(*KEY).agg(
         F.max("write").alias("write"),
