@@ -71,9 +71,11 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tupl
         F.array(size["t"] - size["r1"], size["r2"] - size["r3"], size["r1"] - size["r2"], size["r4"] - size["r5"], size["r3"] - size["r4"], size["r5"]).cast("array<double>").alias("classes"),
     )
     n = F.size("_w")
-    # each 3-word window as its hash and its place, sorted so that equal windows are neighbours
-    windows = F.when(n >= 3, F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p"))))
-    d = d.withColumn("_s", F.sort_array(windows)).withColumn("_common", F.transform("listed", lambda w: F.size(F.filter("found", lambda x: x == w)).cast("double")))
+    # the hashes of all 3-word windows; only where some are equal are they sorted, each with its place, to find which
+    d = d.withColumn("_h", F.when(n >= 3, F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))))
+    placed = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(placed)))
+    d = d.withColumn("_common", F.transform("listed", lambda w: F.size(F.filter("found", lambda x: x == w)).cast("double")))
     again = F.filter("_s", lambda x, i: (x.h == F.get("_s", i - 1).h) | (x.h == F.get("_s", i + 1).h))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x.p, x.p + 1, x.p + 2))))
     return d.select(
