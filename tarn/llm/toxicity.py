@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as the sum of two inputs: an embedding of its hash, and the mean of embeddings of its character n-grams and
-prefixes. The network reads windows of `WINDOW` words in both directions, attention pools the states and one unit scores
+prefixes. A token of over `LONGEST` bytes enters as several such words, so that all of it is read. The network reads windows of `WINDOW` words in both directions, attention pools the states and one unit scores
 the window. Windows overlap by half and cover the whole text; a document's score is calibrated from its highest windows.
 
 Labels are of documents, so training alternates: the network scores all windows of the training documents, the highest of
@@ -11,6 +11,8 @@ words by log-odds), and it is trained on these.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +30,45 @@ LONGEST = 20
 ROUNDS, EPOCHS, BATCH, RATE = 4, 4, 128, 0.02
 CACHE_WORDS = 250_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¡¿"
-
-
-def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed inputs of words: the word's number, and numbers of its byte trigrams and prefixes (-1 where there is none)."""
-    raw = [w.strip(EDGES).encode("utf-8", "surrogatepass")[:LONGEST] for w in words]
+RUNS = re.compile(f"[{re.escape(EDGES)}]+|[^{re.escape(EDGES)}]+")
+
+
+def cut(token: str) -> list[bytes]:
+    """A long token in pieces of at most LONGEST bytes: its runs with and without punctuation, long ones overlapping by about half."""
+    out = []
+    for run in RUNS.findall(token):
+        raw, at = run.encode("utf-8", "surrogatepass"), 0
+        while True:
+            to = at + LONGEST
+            while to < len(raw) and raw[to] & 0xC0 == 0x80:  # pieces are of whole characters
+                to -= 1
+            out.append(raw[at:to])
+            if to >= len(raw):
+                break
+            at += LONGEST // 2
+            while raw[at] & 0xC0 == 0x80:
+                at -= 1
+    return out
+
+
+def words_of(text: str) -> list[str | bytes]:
+    """Lowered words of a text; tokens of over LONGEST bytes (less punctuation at their ends) are there as their pieces."""
+    words = text.lower().split()
+    sure = LONGEST if text.isascii() else LONGEST // 4  # so many characters are never too long
+    if max(map(len, words), default=0) <= sure:
+        return words
+    out = []
+    for w in words:
+        if len(w) > sure and len((bare := w.strip(EDGES)).encode("utf-8", "surrogatepass")) > LONGEST:
+            out += cut(bare)
+        else:
+            out.append(w)
+    return out
+
+
+def word_inputs(words: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed inputs of `words_of` texts: the word's number, and numbers of its byte trigrams and prefixes (-1 where there is none)."""
+    raw = [w if isinstance(w, bytes) else w.strip(EDGES).encode("utf-8", "surrogatepass") for w in words]
     n = np.array([len(r) for r in raw])
     b = np.frombuffer(b"".join(r.ljust(LONGEST, b"\0") for r in raw), np.uint8).reshape(len(raw), LONGEST).astype(np.uint64)
     prime, mixed = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -183,10 +219,11 @@ class Toxicity:
 
     def scores(self, texts: list[str], words: dict, table: np.ndarray) -> np.ndarray:
         """Scores of texts. words and table are a cache: gate inputs of words seen before."""
-        split = [t.lower().split() for t in texts]
-        new = [*(set().union(*split) - words.keys())]
+        split = [words_of(t) for t in texts]
+        distinct = set().union(*split)
+        new = [*(distinct - words.keys())]
         if len(words) + len(new) > len(table):
-            raise BufferError
+            raise BufferError(len(distinct))
         for some in range(0, len(new), 20_000):
             part = new[some : some + 20_000]
             table[len(words) : len(words) + len(part)] = self.network.gates(*word_inputs(part))
@@ -207,7 +244,7 @@ def train(labelled: list[tuple[str, int]]) -> Toxicity:
         share = np.array([-4.0 if not len(y) or not y[0] else 4.0, 0, 0, 0])
         return Toxicity(network, share)
     words: dict[str, int] = {}
-    texts = [np.array([words.setdefault(w, len(words)) for w in t.lower().split()], np.int64) for t, _ in labelled]
+    texts = [np.array([words.setdefault(w, len(words)) for w in words_of(t)], np.int64) for t, _ in labelled]
     listed = [*words] or [""]
     parts = [word_inputs(listed[at : at + 20_000]) for at in range(0, len(listed), 20_000)]
     whole, grams = (np.concatenate(p) for p in zip(*parts))
@@ -295,10 +332,10 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame
                     to += 1
                 try:
                     out.append(sent.value.scores(texts[at:to], words, table))
-                except BufferError:  # the cache is full: start it afresh, larger if these texts alone need it
+                except BufferError as full:  # the cache is full: start it afresh, larger if these texts alone need it
                     words.clear()
-                    if size // 2 > len(table):
-                        table = np.empty((size, 6 * HIDDEN), np.float32)
+                    if full.args[0] > len(table):
+                        table = np.empty((full.args[0], 6 * HIDDEN), np.float32)
                     out.append(sent.value.scores(texts[at:to], words, table))
                 at = to
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "held_out", "score"])

@@ -120,6 +120,40 @@ def test_odd_rows(spark, make_docs, odd, model, label):
     assert len({r["score"] for r in got if r["doc_id"] in (6, 7)}) == 1  # equal texts score alike
 
 
+def test_toxicity_reads_all_of_long_tokens(spark, make_docs):
+    """Texts that differ only behind the twentieth byte of a token: joined words, no spaces at all, one enormous word."""
+    rnd = random.Random(8)
+    plain, vile = ["garden", "window", "letter", "summer", "bridge", "coffee"], ["moronic", "scumbag"]
+    signs, bad = "今天我们一起去公园看花然后回家吃饭休息", "滚蛋废物"
+    texts = []
+    for i in range(600):
+        y, kind = i % 2, i // 2 % 3
+        if kind == 2:
+            text = "和平的城市里有很多人" + "".join(rnd.choices(signs, k=20)) + (bad if y else "春天花园") + "".join(rnd.choices(signs, k=5))
+        else:
+            mark = "_/"[kind]
+            text = mark.join(["thesamebeginningofall", *rnd.choices(plain, k=4), rnd.choice(vile if y else plain), *rnd.choices(plain, k=2)])
+        texts.append((text, y))
+    model = toxicity.train(texts[:540])
+    held = texts[540:] + [("a" * 300_000 + "_" + "_".join(vile * 3), 1), ("a" * 300_000 + "_" + "_".join(plain), 0)]
+    got = {r["doc_id"]: r for r in toxicity.score(make_docs(*(t for t, _ in held)), model).collect()}
+    assert sum(got[i]["predicted"] == y for i, (_, y) in enumerate(held[:60])) >= 57
+    assert got[60]["score"] > got[61]["score"]
+
+
+def test_toxicity_pieces():
+    token = "".join(chr(c) for low in (0x5D0, 0x4E00, 0x20000) for c in range(low, low + 25)) + "-abcdefghijklmnopqrstuvwxyz/0123"
+    raw, at = token.encode(), 0
+    for p in toxicity.words_of(f"one {token}, two")[1:-1]:
+        start = raw.index(p)  # no character is there twice
+        assert start <= at < start + len(p) and len(p) <= toxicity.LONGEST and p.decode()
+        at = start + len(p)
+    assert at == len(raw)
+    same = toxicity.words_of("word " * 9 + '"' * 30 + "Quoted" + "!" * 30)
+    assert same == ["word"] * 9 + ['"' * 30 + "quoted" + "!" * 30]  # what isn't long is one word, as before
+    assert toxicity.words_of("x" * 20 + "a") != toxicity.words_of("x" * 20 + "b")
+
+
 def test_held_out_labels_are_never_learned(spark, make_docs):
     ids = [i for i in range(50)]
     docs = make_docs(*((i, f"text {i}") for i in ids))
