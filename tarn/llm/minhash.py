@@ -4,7 +4,8 @@ Every signature coordinate comes from the same two permutations of the 32-bit sh
 shingles, the second ranks them, circularly shifted by another amount for each coordinate (no coordinate has a
 permutation of its own). Coordinates are grouped into bands; documents that agree on a band are candidates.
 
-Texts with equal shingle sets form a class, and one member stands for it from there on, so copies cost nothing. In a
+Texts with equal shingle sets form a class with a number of its own, and one member stands for it from there on, so copies
+cost nothing; ids only order and name what is found. In a
 bucket every member is first verified against the bucket's least member only; the links so confirmed join most of a
 bucket. In a second round the members outside the bucket's main component meet the rest of it, in blocks of bounded
 size that compare whole shingle sets and return links alone: no bucket is gathered and pairs are never written out.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, id_or_last, id_or_null, mix32, mix64, small, texts_of
+from .common import durable, id_or_last, id_or_null, mix32, mix64, small, texts_of
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -69,8 +70,13 @@ def band_keys(signature: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np
     return key.view(np.int64)
 
 
+def text_hash(text: str):
+    """128 bits that tell texts apart; no bytes for null."""
+    return F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b""))
+
+
 def shingled(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id (nulls last), n (set size), digest (of the set; null if empty), bands (keys)."""
+    """Per row: id (nulls last), hash (of the text), n (set size), digest (of the set; null if empty), bands (keys)."""
 
     def run(batches):
         for batch in batches:
@@ -80,9 +86,9 @@ def shingled(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
             for i, row in zip(full, band_keys(signatures([sets[i] for i in full]))):
                 keys[i] = row
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "hash", "n", "digest", "bands"])
 
-    return docs.select(id_or_last(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, digest binary, bands array<bigint>")
+    return docs.select(id_or_last(doc_id).alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text")).mapInArrow(run, "id bigint, hash binary, n bigint, digest binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -182,24 +188,22 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked if their sets of k-word shingles have 100 * intersection >= percent * union; component_id is the
-    least id reachable over links, itself included; kept marks the row that has that id. A null or wordless text has an
-    empty set and no links. A null id comes after all others and stays null in the result. Rows that share an id are each
-    returned and count as one document with the links of them all; an empty table gives an empty one. Other columns of docs are left behind, whatever their names.
-    """
+def judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Per row of docs: id (nulls last), hash, n, digest as in `shingled`, component (least id of its component), kept."""
     rows = durable(shingled(docs, k, doc_id, text), "shingled")
-    classes = durable(rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = durable(classes.select("digest", "first.id", "first.hash", "n", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
     keyed = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("center")).where("size > 1")
     members = durable(keyed.join(shared, "bucket").select("bucket", "rep", "n", F.col("center.rep").alias("center"), F.col("center.n").alias("center_n")), "members")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes alone rule a link out
 
-    ids = durable(members.select(F.col("rep").alias("id")).distinct(), "candidates")
-    body = docs.select(id_or_last(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = durable(body.join(small(ids), "id", "left_semi"), "texts")
+    ids = durable(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("id", "hash", "rep"), "candidates")
+    n = ids.count()
+    body = docs.select(id_or_last(doc_id).alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
+    texts = durable(body.join(small(ids, n), ["id", "hash"]).select(F.col("rep").alias("id"), "text"), "texts")
+    if texts.count() > n:  # rows are there more than once, id and text
+        texts = durable(texts.dropDuplicates(["id"]), "texts")
 
     stars = members.where(F.col("rep") != F.col("center")).where(fits(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     label = components(verified(stars, texts, k).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
@@ -212,16 +216,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     second = durable(block_links(parted.join(sets, "rep"), percent).distinct(), "verified")
     # links of the second round join components of the first
     whole = components(label.toDF("a", "b").union(second))
-    known = classes.select("digest", "rep").join(whole.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "digest").join(known, "digest", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(id_or_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_or_null(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    linked = whole.toDF("rep", "root").join(classes.select("rep", "id", "digest"), "rep")
+    heads = linked.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("head"))
+    linked = linked.join(heads, "root").select("rep", "head")
+    known = classes.select("rep", "digest", "id").join(linked, "rep", "left")
+    known = known.select("digest", F.coalesce("head.id", "id").alias("component"), F.coalesce(F.col("head.digest") == F.col("digest"), F.lit(True)).alias("leads"))
+    out = rows.select("id", "hash", "n", "digest").join(known, "digest", "left").withColumn("component", F.coalesce("component", "id"))
+    return out.withColumn("kept", F.coalesce("leads", F.lit(True)) & (F.col("id") == F.col("component"))).drop("leads")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if their sets of k-word shingles have 100 * intersection >= percent * union; component_id is the
+    least id reachable over links, itself included; kept marks the row that has that id. A null or wordless text has an
+    empty set and no links. A null id comes after all others and stays null in the result. Rows that share an id are each
+    judged by their own text; where several of a component have its least id, those of one set are kept. An empty table
+    gives an empty one. Other columns of docs are left behind, whatever their names.
+    """
+    out = judged(docs, k, percent, doc_id, text)
+    return out.select(id_or_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_or_null(F.col("component")).alias("component_id"), "kept")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, with all columns of docs, whatever their names.
 
-    The one with the least id stays; of rows with the same id and text one stays. Texts without words all stay.
+    The one with the least id stays, of several with that id one; other rows go or stay by their own texts, not by their
+    ids. Texts without words all stay, but of rows with the same id and text one.
     """
-    kept = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), id_or_last(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"))
-    return whole.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+    kept = judged(docs, k, percent, doc_id, text).where("kept").groupBy("id", F.coalesce("digest", "hash").alias("set")).agg(F.min("hash").alias("_hash"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), id_or_last(doc_id).alias("_id"), text_hash(text).alias("_hash"))
+    return whole.join(kept.select(F.col("id").alias("_id"), "_hash"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -91,6 +91,23 @@ def test_minhash_odd_rows(spark, make_docs, odd):
     assert sorted(((r["doc_id"], (r["text"] or "")[:8]) for r in kept.collect()), key=repr) == sorted([(None, "one two "), (1, ""), (2, ""), (3, " \t\n\x0b "), (4, "w0 x0 w1"), (5, "zzzzzzzz"), (6, "one two"), (8, "other wo"), (8, "solo")], key=repr)
 
 
+def test_minhash_shared_ids(spark, make_docs):
+    """Different texts with one id, or none, are judged each by its own text."""
+    rnd = random.Random(6)
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = {x: edited(rnd, words, 1) for x, words in zip("abc", (a, b, c))}
+    rows = [(1, " ".join(a)), (None, near["a"]), (None, "quite clean words here"), (None, " ".join(b)), (None, near["b"]), (None, "None at all"), (None, "none at all"), (None, "")]
+    rows += [(7, " ".join(c)), (7, "seven is clean too"), (9, near["c"]), (9, "nine is clean too"), (9, "nine is clean too")]
+    got = minhash.near_duplicates(make_docs(*rows), 2, 80).collect()
+    assert len(got) == len(rows)
+    stays = sorted(((r["doc_id"], r["text"]) for r in minhash.keep_first(make_docs(*rows), 2, 80).collect()), key=repr)
+    one_of = [{(None, " ".join(b)), (None, near["b"])}, {(None, "None at all"), (None, "none at all")}]
+    clean = {(1, " ".join(a)), (None, "quite clean words here"), (None, ""), (7, " ".join(c)), (7, "seven is clean too"), (9, "nine is clean too")}
+    assert len(stays) == len(clean) + 2 and clean < set(stays) and all(len(x & set(stays)) == 1 for x in one_of)
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=repr) == sorted(
+        [(1, 1, True), (None, 1, False), (7, 7, True), (7, 7, True), (9, 7, False), (9, 9, True), (9, 9, True)] + [(None, None, True)] * 5 + [(None, None, False)], key=repr)
+
+
 def test_circulant_signatures():
     rnd = np.random.default_rng(0)
     a = np.unique(rnd.integers(0, 2**63, 900).astype(np.uint64))
