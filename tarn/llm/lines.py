@@ -22,15 +22,15 @@ SALTS = 32
 
 
 def line_rows(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row per line with something on it: id (nulls last), pos, site ('' for null), hash of the trimmed line."""
-    rows = docs.select(id_or_last(doc_id).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    """One row per line with something on it: id (nulls last), doc (hash of the text), pos, site ('' for null), hash of the trimmed line."""
+    rows = docs.select(id_or_last(doc_id).alias("id"), F.xxhash64(text).alias("doc"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     bare = F.btrim("line", F.lit(WHITE))
-    return rows.where(bare != "").select("id", "pos", "site", F.xxhash64(bare).alias("hash"))
+    return rows.where(bare != "").select("id", "doc", "pos", "site", F.xxhash64(bare).alias("hash"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """hash and first (struct of id and pos) of every line that stands on `min_sites` sites or more."""
-    spread = lines.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"))
+    """hash and first (struct of id, pos and doc) of every line that stands on `min_sites` sites or more."""
+    spread = lines.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("id", "pos", "doc")).alias("first"))
     spread = spread.where(F.col("sites") >= min_sites * (1 - NEAR)).select("hash", "first", (F.col("sites") <= min_sites * (1 + NEAR)).alias("near"))
     spread = durable(spread, "spread")
     near = spread.where("near").select("hash", "first")
@@ -44,22 +44,22 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "t
 
     A line is what newlines part; lines are equal if they are so without white space at their ends; blank lines are never
     boilerplate. The first occurrence (least id, then place) of a boilerplate line stays. A null site is a site of its
-    own; a null id comes last; a null text has no lines and stays null. Rows that share an id are taken for the same
-    document. Columns of docs that are named like the added ones are replaced; without `counts` none are added.
+    own; a null id comes last; a null text has no lines and stays null. Rows that share an id and a text are taken
+    for the same document; others that share an id, or have none, are documents of their own. Columns of docs that are named like the added ones are replaced; without `counts` none are added.
     """
     lines = line_rows(docs, text, site, doc_id)
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("id", "doc"), F.lit(SALTS))
     spread = boilerplate(lines, min_sites).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
     gone = (
         lines.withColumn("salt", salt)
         .join(spread, ["hash", "salt"])
-        .where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy("id")
+        .where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | (F.col("doc") != F.col("first.doc")))
+        .groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc"))
         .agg(F.collect_set("pos").alias("_gone"))
     )
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     every = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    joined = docs.select(*columns).withColumn("_id", id_or_last(doc_id)).join(gone.withColumnRenamed("id", "_id"), "_id", "left")
+    joined = docs.select(*columns).withColumns({"_id": id_or_last(doc_id), "_doc": F.xxhash64(text)}).join(gone, ["_id", "_doc"], "left")
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
     n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(every)).cast("long")
     added = [n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]

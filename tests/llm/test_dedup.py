@@ -181,6 +181,15 @@ def lines_truth(rows, sites):
     return sorted(out, key=repr)
 
 
+def test_lines_shared_ids(spark, make_docs):
+    """Lines go only from the text they were found in, whatever other texts share its id or have none."""
+    sites = [(i, f"own {i}\nBOILER", "en", f"site{i}") for i in range(9)]
+    rows = [(None, "a\nb\nBOILER"), (None, "x\ny\nz"), (None, "BOILER\nq"), (7, "p\nclean seven"), (-5, "first\nBOILER\nBOILER"), (-5, "BOILER\nfirst again")]
+    want = [(None, "a\nb"), (None, "x\ny\nz"), (None, "q"), (7, "p\nclean seven"), (-5, "first"), (-5, "BOILER\nfirst again")] + [(i, f"own {i}") for i in range(9)]
+    got = [(r["doc_id"], r["text"]) for r in lines.drop_boilerplate(make_docs(*rows, *sites)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_lines(spark, make_docs, odd):
     rnd = random.Random(5)
     pool = [f"line number {i}" for i in range(12)] + ["", "  ", " padded ", "padded"]
