@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, hinted
+from ..plans.durable import BROADCAST_ROWS, durable, hinted
 
-__all__ = ["NULL_ID", "WHITE", "WORD_GAP", "durable", "id_or_last", "id_or_null", "mix32", "mix64", "small", "table", "texts_of"]
+__all__ = ["BROADCAST_ROWS", "NULL_ID", "WHITE", "WORD_GAP", "durable", "id_or_last", "id_or_null", "mix32", "mix64", "small", "table", "texts_of"]
 
 #: Stands for a null id wherever ids are compared or joined; such rows sort last.
 NULL_ID = 2**63 - 1

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, durable, id_or_last, small
+from .common import BROADCAST_ROWS, WHITE, durable, id_or_last, small
 
 MIN_SITES = 8
 #: Estimates within this fraction of the threshold are near it; the sketches' standard error is about a quarter of that.
@@ -45,22 +45,33 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "t
     A line is what newlines part; lines are equal if they are so without white space at their ends; blank lines are never
     boilerplate. The first occurrence (least id, then place) of a boilerplate line stays. A null site is a site of its
     own; a null id comes last; a null text has no lines and stays null. Rows that share an id and a text are taken
-    for the same document; others that share an id, or have none, are documents of their own. Columns of docs that are named like the added ones are replaced; without `counts` none are added.
+    for the same document; others that share an id, or have none, are documents of their own. An empty table gives an
+    empty one. Columns of docs stay, whatever their names, but those that are named like the added ones are replaced;
+    without `counts` none are added.
     """
     lines = line_rows(docs, text, site, doc_id)
-    salt = F.pmod(F.xxhash64("id", "doc"), F.lit(SALTS))
-    spread = boilerplate(lines, min_sites).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    spread = durable(boilerplate(lines, min_sites), "boilerplate")
+    n = spread.count()
+    if n > BROADCAST_ROWS:  # a shuffled join: a hot line's rows are dealt to SALTS tasks
+        lines = lines.withColumn("salt", F.pmod(F.xxhash64("id", "doc"), F.lit(SALTS)))
+        met = lines.join(spread.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))), ["hash", "salt"])
+    else:
+        met = lines.join(small(spread, n), "hash")
     gone = (
-        lines.withColumn("salt", salt)
-        .join(spread, ["hash", "salt"])
-        .where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | (F.col("doc") != F.col("first.doc")))
+        met.where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | (F.col("doc") != F.col("first.doc")))
         .groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     )
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
-    every = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    joined = docs.select(*columns).withColumns({"_id": id_or_last(doc_id), "_doc": F.xxhash64(text)}).join(gone, ["_id", "_doc"], "left")
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(every)).cast("long")
-    added = [n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*(left.alias(c) if c == text else F.col(c) for c in columns), *(added if counts else ()))
+    # the text goes as its lines, the other columns as one struct that no name of theirs can clash with
+    every = F.split(F.col(text), "\n", -1)
+    joined = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in columns if c != text)).alias("_row"), every.alias("_lines"), id_or_last(doc_id).alias("_id"), F.xxhash64(text).alias("_doc")
+    ).join(gone, ["_id", "_doc"], "left")
+    # what stands between two removed lines is a slice: all slices together are one pass over the lines
+    between = lambda i: F.slice("_lines", F.coalesce(F.get("_gone", i - 1) + 1, F.lit(0)) + 1, F.coalesce(F.get("_gone", i), F.size("_lines")) - F.coalesce(F.get("_gone", i - 1) + 1, F.lit(0)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between))
+    left = F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept), "\n")
+    blank = F.col("_lines").isNull() | ((F.size("_lines") == 1) & (F.get("_lines", F.lit(0)) == ""))
+    added = [F.when(blank, 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*(left.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns), *(added if counts else ()))

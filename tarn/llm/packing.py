@@ -25,6 +25,8 @@ from .bpe import load, texts_of_batch
 from .common import durable, id_or_last
 
 CAPACITY = 2048
+#: Pieces of one length that a task numbers.
+SALT_ROWS = 200_000
 
 
 def pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -79,8 +81,9 @@ class Sums:
         return (int(fits[-1]), gap - int(fits[-1])) if fits.size else ()
 
     def triple(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
+        """A triple that sums to gap, of all that there are the one with the longest first length; each is tried until one has its counts."""
         a = np.arange((gap + 2) // 3, gap - 1)
-        for x in a[(left[a] > 0) & (self.pairs[gap - a] > 0)][::-1][:64].tolist():
+        for x in a[(left[a] > 0) & (self.pairs[gap - a] > 0)][::-1].tolist():
             left[x] -= 1
             rest = self.pair(gap - x, left)
             left[x] += 1
@@ -142,9 +145,11 @@ def places(recipes: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {x: tuple(np.array(c, np.int64) for c in zip(*runs)) for x, runs in out.items()}
 
 
-def numbered(df: DataFrame, salts: int) -> DataFrame:
-    """df with number: 0, 1, 2, ... within each length; no length is gathered in one task."""
-    salted = df.withColumn("salt", F.pmod(F.xxhash64(id_or_last(), "piece", "start", "ids_crc32"), F.lit(salts)))
+def numbered(df: DataFrame, counts: np.ndarray, salts: int) -> DataFrame:
+    """df with number: 0, 1, 2, ... within each length; a length is dealt to `salts` tasks at least, and to one for every SALT_ROWS of its rows."""
+    rows = [(int(x), max(salts, -(-int(counts[x]) // SALT_ROWS))) for x in np.flatnonzero(counts)]  # at most `capacity` rows
+    of = F.broadcast(df.sparkSession.createDataFrame(rows, "length bigint, salts bigint"))
+    salted = df.join(of, "length").withColumn("salt", F.pmod(F.xxhash64(id_or_last(), "piece", "start", "ids_crc32"), "salts")).drop("salts")
     before = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
@@ -156,7 +161,11 @@ def numbered(df: DataFrame, salts: int) -> DataFrame:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (from `pieces`, read twice: pass a durable table) with sequence_id and offset."""
+    """Pieces (from `pieces`, read twice: pass a durable table) with sequence_id and offset.
+
+    Every piece gets one place, equal rows one each; pieces of one length are interchangeable, so which of them takes which
+    place is decided by hash, id and piece and says nothing. A null doc_id is a document like others. No pieces, no rows.
+    """
     spark = cut.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most `capacity` rows
@@ -175,7 +184,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return numbered(cut, salts).mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return numbered(cut, counts, salts).mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -111,3 +111,29 @@ def test_exact_complements():
     assert sums.exact(40, left) == (40,) and sum(sums.exact(60, left)) == 60 and sum(sums.pair(30, left)) == 30
     triple = sums.triple(60, left)
     assert len(triple) == 3 and sum(triple) == 60 and sums.exact(99, left) == ()
+
+
+def test_every_triple_is_tried():
+    """Single counts: a hundred first lengths would need their second twice; what brute force finds behind them is found."""
+    counts, gap = np.zeros(2049, int), 2000
+    for x in range(1000, 1400, 2):  # x + 2 * y = gap, with one y each
+        counts[[x, (gap - x) // 2]] = 1
+    counts[[700, 660, 640]] += 1
+    lengths = np.flatnonzero(counts).tolist()
+    there = {x for a in lengths for b in lengths if a > b and (x := gap - a - b) > 0 and counts[x] > (x == a) + (x == b)}
+    assert there
+    for longest in range(1400, 700, -50):
+        left = np.where(np.arange(2049) <= longest, counts, 0)
+        some = [x for x in lengths if x <= longest]
+        any_ = any((x := gap - a - b) > 0 and left[x] > (x == a) + (x == b) for a in some for b in some if a > b)
+        got = packing.Sums(left).triple(gap, left.copy())
+        assert bool(got) == any_ and (not got or sum(got) == gap and (np.bincount(got, minlength=2049) <= left).all())
+
+
+def test_hot_length_is_dealt_out(spark, monkeypatch):
+    """A length that most rows have is numbered by many tasks, each number once."""
+    monkeypatch.setattr(packing, "SALT_ROWS", 20)
+    rows = spark.range(1000).selectExpr("id doc_id", "0 piece", "0L start", "if(id % 9 = 0, id % 7 + 1, 64) length", "id ids_crc32")
+    got = packing.pack(rows, 64).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(places) == len(got) == 1000 and len({r["doc_id"] for r in got}) == 1000

@@ -203,6 +203,25 @@ def test_lines(spark, make_docs, odd):
     assert lines.drop_boilerplate(make_docs()).count() == 0
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    """Names that the operator uses itself, a dot in a name, and a text of very many removed lines."""
+    many = "\n".join(["BOILER", "own"] * 30_000)
+    rows = [(i, f"own {i}\nBOILER", f"site{i}", "x", "y", "z", 1.5) for i in range(9)] + [(50, many, "site1", "x", None, "z", 2.5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _id string, _gone string, `a.b` string, _row double")
+    out = lines.drop_boilerplate(docs, counts=False)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert all(got[r[0]][2:] == r[2:] for r in rows)
+    assert got[0][1] == "own 0\nBOILER" and got[3][1] == "own 3" and got[50][1] == "\n".join(["own"] * 30_000)
+
+
+def test_lines_by_shuffled_join(spark, make_docs, monkeypatch):
+    rows = [(i, f"own {i}\nBOILER", "en", f"site{i}") for i in range(30)]
+    want = sorted(map(tuple, lines.drop_boilerplate(make_docs(*rows)).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, lines.drop_boilerplate(make_docs(*rows)).collect())) == want and sum(r[-1] for r in want) == 29
+
+
 def vectors_truth(rows, least):
     good = [(i, np.array(v, float) / np.linalg.norm(np.array(v, float))) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, n = [], defaultdict(int)
