@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
@@ -63,6 +64,8 @@ class WordBpe:
             self.slot_key[at], self.slot_rank[at] = key, self.merge[key]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.rule_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.rule_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.special_start = {s[:2] for s in self.special}
         self.young: dict[str, bytes] = {}
@@ -162,17 +165,21 @@ class WordBpe:
         again = {c: self.old[c] for c in chunks & self.old.keys()}
         self.young.update(again)
         new = [*(chunks - again.keys())]
-        split = [*map(self.words, new)]
+        split = [self.split_words(c) for c in new]
         words = [*{w for ws in split for w in ws}]
         ids = dict(zip(words, self.merge_words(words)))
         for c, ws in zip(new, split):
             self.young[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            # each character is lowered on its own, so a sigma at a word's end gets no final form
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def split_words(self, chunk: str) -> list[str]:
+        """The words of a chunk without white space, normalised: composed, lowered character by character, split by the file's pattern."""
+        if chunk.isascii():
+            return self.words(chunk.lower())
+        if "Cn" in map(unicodedata.category, chunk):
+            # code points that this Python's tables don't know: the file's own normaliser and pattern say what they are
+            return [w for w, _ in self.rule_split.pre_tokenize_str(self.rule_normal.normalize_str(chunk))]
+        # each character is lowered on its own, so a sigma at a word's end gets no final form
+        return self.words(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
@@ -191,10 +198,10 @@ class WordBpe:
             if any(s in text for s in self.special_start):
                 chunks: list = []
                 for i, p in enumerate(self.specials.split(text)):
-                    chunks += [self.special[p].to_bytes(4, "little")] if i % 2 else self.split(self.normal(p))
+                    chunks += [self.special[p].to_bytes(4, "little")] if i % 2 else self.split(p)
                 parts.append(chunks)
             else:
-                parts.append(self.split(self.normal(text)))
+                parts.append(self.split(text))
         if len(self.young) > CACHE_ENTRIES:  # the older generation goes
             self.old, self.young = self.young, {}
         seen: set = set().union(*parts)
@@ -248,7 +255,12 @@ def texts_of_batch(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, SHA-256 of its ids (little-endian uint32) and of its decoded text (UTF-8)."""
+    """Per document: doc_id, n_tokens, SHA-256 of its ids (little-endian uint32) and of its decoded text (UTF-8).
+
+    A null or empty text has no ids and decodes to the empty text. Rows are independent, so repeated rows give repeated
+    results and nothing is shuffled; a null doc_id stays null; an empty table gives an empty one. Other columns are left
+    behind, whatever their names.
+    """
 
     def run(batches):
         bpe = load(vocab_path)

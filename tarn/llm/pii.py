@@ -11,15 +11,18 @@ classifier over kind, votes and length, which makes the final decision on each s
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, texts_of
+from .common import durable
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "local_phone", "spelled_email", "person")
@@ -34,7 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}={0,2}")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-SPELLED = re.compile(r"(?<![\w.])[\w.-]{1,64} ?[\[(] ?at ?[\])] ?[\w-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[\w-]{1,63}){1,5}")
+# parts have no greatest length; possessive repeats from the head of a run read each run once
+SPELLED = re.compile(r"(?<![\w.-])[\w.-]++ ?[\[(] ?at ?[\])] ?[\w-]++(?: ?[\[(] ?dot ?[\])] ?[\w-]++)+")
 
 #: Words that announce or make up personal data.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora", "Don", "Doña")
@@ -47,7 +51,7 @@ CONTEXT = {
     "spelled_email": ("mail", "contact", "write", "kontakt", "correo"),
     "person": ("name", "dear", "by", "sincerely", "von", "par", "por"),
 }
-NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ([A-ZÀ-Þ][\w'-]{{1,30}})(?: ([A-ZÀ-Þ][\w'-]{{1,30}}))?")
+NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ([A-ZÀ-Þ][\w'-]++)(?: ([A-ZÀ-Þ][\w'-]++))?")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -99,7 +103,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
 
 def candidates(text: str, base: list[tuple[int, int, str]], failed: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
-    """Further spans (start, end, kind, votes) that overlap no base span nor each other; votes has + - or 0 per labeler."""
+    """Further spans (start, end, kind, votes) that overlap no base span, but may overlap each other; votes has + - or 0 per labeler."""
     raw = [(a, b, "number") for a, b in failed]
     raw += [(*m.span(), "secret") for m in LONG_TOKEN.finditer(text) if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0])]
     raw += [(*m.span(), "local_phone") for m in LOCAL_PHONE.finditer(text)]
@@ -108,15 +112,18 @@ def candidates(text: str, base: list[tuple[int, int, str]], failed: list[tuple[i
     raw += [(*m.span(), "person") for m in NAMED.finditer(text)]
     if not raw:
         return []
-    out, taken, at = [], sorted(s[:2] for s in base), 0
-    end = 0
+    starts, ends = [], []  # the base spans' union
+    for a, b in sorted(x[:2] for x in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
     for a, b, kind in sorted(raw, key=lambda s: (s[0], ADDED.index(s[2]))):
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if a < end or any(x < b and a < y for x, y in taken[at : at + 8]):
-            continue
-        out.append((a, b, kind, votes(text, a, b, kind)))
-        end = b
+        i = bisect.bisect_right(ends, a)
+        if i == len(ends) or starts[i] >= b:
+            out.append((a, b, kind, votes(text, a, b, kind)))
     return out
 
 
@@ -146,22 +153,28 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def detected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base (spans, joined), and its candidates: kinds, starts, ends, votes (arrays)."""
+def detected(docs: DataFrame, kept: str, text: str) -> DataFrame:
+    """Per row: its column `kept`, base (spans, joined), and its candidates: kinds, starts, ends, votes (arrays).
+
+    text is a column, or with a dot a field of a struct column (of `kept`, so that it is sent once)."""
+    column, *field = text.split(".", 1)
 
     def run(batches):
         for batch in batches:
             base, kinds, starts, ends, said = [], [], [], [], []
-            for t in texts_of(batch):
-                spans, failed = base_spans(t)
-                more = candidates(t, spans, failed)
+            texts = batch.column(column)
+            for t in (pc.struct_field(texts, field) if field else texts).to_pylist():
+                spans, failed = base_spans(t or "")
+                more = candidates(t or "", spans, failed)
                 base.append(joined(spans))
                 for out, i in ((starts, 0), (ends, 1), (kinds, 2), (said, 3)):
                     out.append([c[i] for c in more])
             ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(kinds, strings), pa.array(starts, ints), pa.array(ends, ints), pa.array(said, strings)], ["doc_id", "base", "kinds", "starts", "ends", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(kept), pa.array(base, pa.string()), pa.array(kinds, strings), pa.array(starts, ints), pa.array(ends, ints), pa.array(said, strings)], [kept, "base", "kinds", "starts", "ends", "votes"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, base string, kinds array<string>, starts array<int>, ends array<int>, votes array<string>")
+    strings, ints = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
+    kinds = {"base": T.StringType(), "kinds": strings, "starts": ints, "ends": ints, "votes": strings}
+    return docs.mapInArrow(run, T.StructType([docs.schema[kept], *(T.StructField(c, k) for c, k in kinds.items())]))
 
 
 def size_class(length: int) -> int:
@@ -223,6 +236,23 @@ def train(found: DataFrame) -> np.ndarray:
     return logistic(design(kind, said, np.array([r["size"] for r in rows])), soft, n)
 
 
+def spans_of(base: str, kinds: list, starts: list, ends: list, said: list, w: np.ndarray) -> list[tuple[int, int, str]]:
+    """All spans of a text, by start and kind: the base ones, and the candidates that the classifier accepts. Where accepted
+    ones overlap, the first of them (of those that start together, the first kind) stays."""
+    out = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+    if kinds:
+        x = design(np.array([ADDED.index(k) for k in kinds]), np.array([["-0+".index(v) - 1 for v in s] for s in said]), np.array([size_class(b - a) for a, b in zip(starts, ends)]))
+        end = 0
+        for a, b, k, good in zip(starts, ends, kinds, x @ w > 0):
+            if good and a >= end:
+                out.append((a, b, k))
+                end = b
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+SPANS = ("base", "kinds", "starts", "ends", "votes")
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points, comma-joined).
 
@@ -230,21 +260,17 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     independent, so repeated rows give repeated results; a null id stays null. An empty table gives an empty one. Other
     columns of docs are left behind, whatever their names.
     """
-    found = durable(detected(docs, doc_id, text), "candidates")
+    found = durable(detected(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text"), "candidates")
     w = train(found)  # a few dozen numbers
 
     def run(batches):
         for batch in batches:
             counts, digest, spans = [[] for _ in BASE], [], []
-            for base, kinds, starts, ends, said in zip(*(batch.column(c).to_pylist() for c in ("base", "kinds", "starts", "ends", "votes"))):
-                all_ = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+            for row in zip(*(batch.column(c).to_pylist() for c in SPANS)):
+                all_ = spans_of(*row, w)
                 for out, k in zip(counts, BASE):
                     out.append(sum(s[2] == k for s in all_))
-                digest.append(hashlib.sha256(base.encode()).hexdigest())
-                if kinds:
-                    x = design(np.array([ADDED.index(k) for k in kinds]), np.array([["-0+".index(v) - 1 for v in s] for s in said]), np.array([size_class(b - a) for a, b in zip(starts, ends)]))
-                    all_ += [(a, b, k) for a, b, k, good in zip(starts, ends, kinds, x @ w > 0) if good]
-                    all_.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+                digest.append(hashlib.sha256(row[0].encode()).hexdigest())
                 spans.append(joined(all_))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
@@ -254,28 +280,28 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span found in `text` replaced by its kind in angle brackets; overlapping spans by the first's.
 
-    All columns stay, whatever their names; a null text stays null. The classifier is the one that `find` trains.
+    All columns stay, whatever their names; a null text stays null, an empty one empty. Rows are independent, so repeated
+    rows give repeated results; an empty table gives an empty one. The classifier is the one that `find` trains. Spans are
+    found once: rows are written with them, and masked when they are read again.
     """
-    w = train(durable(detected(docs.select(F.lit(0).alias("doc_id"), text), "doc_id", text), "candidates"))
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")).alias("row"))
+    found = durable(detected(rows, "row", "row.text"), "candidates")
+    w = train(found)
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, *spans: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t, *row in zip(texts.to_pylist(), *(s.to_pylist() for s in spans)):
             if not t:
                 out.append(t)
                 continue
-            base, failed = base_spans(t)
-            spans = list(base)
-            if more := candidates(t, base, failed):
-                x = design(np.array([ADDED.index(c[2]) for c in more]), np.array([["-0+".index(v) - 1 for v in c[3]] for c in more]), np.array([size_class(c[1] - c[0]) for c in more]))
-                spans += [c[:3] for c, good in zip(more, x @ w > 0) if good]
             parts, end = [], 0
-            for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))):
+            for a, b, k in spans_of(*row, w):
                 if a >= end:
                     parts += [t[end:a], f"<{k.upper()}>"]
                 end = max(end, b)
             out.append("".join([*parts, t[end:]]))
         return pa.array(out, pa.string())
 
-    masked = F.arrow_udf(run, "string")
-    return docs.select(*(masked(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))
+    masked = F.arrow_udf(run, "string")(F.col("row.text"), *SPANS)
+    return found.select(*(masked.alias(c) if c == text else F.col("row.rest").getField(c).alias(c) for c in docs.columns))

@@ -37,6 +37,17 @@ def test_like_the_library(oracle):
         assert encoder.decode(ids) == oracle.decode(expected, skip_special_tokens=False)
 
 
+def test_every_code_point(oracle):
+    """Between letters, as a word of its own, and behind a letter in a chunk: all of Unicode but surrogates."""
+    encoder = bpe.load(registry.vocabulary())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [f"ab{c}Cd {c} x{c}" for c in points[at : at + 50_000]]
+        expected = oracle.encode_batch(texts, add_special_tokens=False)
+        for text, ids, want in zip(texts, encoder.encode_many(texts), expected):
+            assert ids == packed(want.ids), ascii(text)
+
+
 def test_rows_and_heap_merge_alike():
     encoder = bpe.load(registry.vocabulary())
     rnd = random.Random(4)
