@@ -160,6 +160,31 @@ def test_substring(spark, make_docs, odd):
     assert substring.substring_dedup(make_docs()).count() == 0
 
 
+def test_sketch(spark, monkeypatch):
+    """Merged from many partitions and flushes, estimates never fall below true counts, and few keys are let through by chance."""
+    monkeypatch.setattr(substring, "HELD", 500)
+    rnd = np.random.default_rng(5)
+    once, often = rnd.integers(-(2**63), 2**63, 30_000), rnd.integers(-(2**63), 2**63, 300)
+    keys = np.concatenate([once, np.repeat(often, rnd.integers(2, 40, 300)), np.full(2000, 77)])
+    rnd.shuffle(keys)
+    rows = spark.createDataFrame([([int(k) for k in some],) for some in np.array_split(keys, 400)], "keys array<bigint>").repartition(7)
+    sketch = substring.Sketch(len(keys))
+    merged = sketch.merged(sketch.partial(rows)).collect()
+    counters = {(r["row"], r["chunk"]): np.frombuffer(r["counters"], np.uint8) for r in merged}
+    assert len(counters) == len(merged)
+    distinct, counts = np.unique(keys, return_counts=True)
+    each = [sketch.cells(distinct, r) for r in range(substring.ROWS)]
+    read = lambda r, c: counters[r, int(c) >> sketch.chunk_bits][int(c) & ((1 << sketch.chunk_bits) - 1)]
+    estimates = np.array([[read(r, c) for c in cells] for r, cells in enumerate(each)]).min(axis=0)
+    assert (estimates >= np.minimum(counts, 255)).all()
+    assert (estimates[counts == 1] > 1).mean() <= substring.ODDS
+    twice = {(r["row"], r["cell"]) for r in sketch.repeated(sketch.merged(sketch.partial(rows))).collect()}
+    assert {k for k, e in zip(distinct.tolist(), estimates) if e > 1} == {k for i, k in enumerate(distinct.tolist()) if all((r, int(each[r][i])) in twice for r in range(substring.ROWS))}
+    cell = spark.createDataFrame([(int(k),) for k in distinct[:50]], "key bigint").select(*(sketch.cell("key", r) for r in range(substring.ROWS))).collect()
+    assert [tuple(r) for r in cell] == [tuple(int(e[i]) for e in each) for i in range(50)]
+    assert substring.Sketch(10**12).bits > 40 and substring.Sketch(0).bits == substring.LEAST_BITS
+
+
 def lines_truth(rows, sites):
     where, first = defaultdict(set), {}
     for d, t, _, s in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
