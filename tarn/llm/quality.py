@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-Every passage of `PASSAGE` words is encoded from its surface (characters by class, word lengths, repetition within the
-passage and the document) by two learned layers. Gated attention, a tanh and a sigmoid branch multiplied, gives each
+Every passage of `PASSAGE` words is encoded from its content (its words and byte trigrams, counted by hash) and its surface
+(characters by class, word lengths, repetition within the passage and the document) by two learned layers. Gated attention, a tanh and a sigmoid branch multiplied, gives each
 passage a weight; the document is the weighted mean of its passage encodings, and one unit scores it. Encoder, attention
 and output are trained together from document labels alone, in numpy.
 """
@@ -30,7 +30,10 @@ for number, members in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNO
 CLASS[0xC0:] = 9
 CLASS[0x80:0xC0] = 10
 CLASSES = 11
-FEATURES = CLASSES - 1 + 9
+#: Numbers that words and byte trigrams are hashed to.
+HASHED = 256
+SURFACE = CLASSES - 1 + 9
+FEATURES = SURFACE + 2 * HASHED
 
 
 def passages(text: str) -> np.ndarray:
@@ -62,8 +65,14 @@ def passages(text: str) -> np.ndarray:
     _, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
     again = (times[inverse] > 1).astype(float)
     head = kind[starts]
+    some_words = np.bincount(of_word * HASHED + (h >> np.uint64(56)).astype(np.int64), minlength=count * HASHED)
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    tri = ((b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    some_grams = np.bincount(of_byte[: len(tri)] * HASHED + tri, minlength=count * HASHED)
     return np.concatenate(
         [
+            np.log1p(some_words.reshape(count, HASHED)),
+            np.log1p(some_grams.reshape(count, HASHED)),
             chars / size,
             np.stack([share(fresh), share(first), share(same), share(again), share(length <= 3), share(length >= 14), share(head == 1), share(length) / 10, np.full(count, np.log1p(n) / 10)], axis=1),
         ],
@@ -166,7 +175,14 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.3) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
-            out = [sent.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+            out, at = [], 0
+            while at < len(texts):  # about a megabyte of text at a time
+                to, size = at, 0
+                while to < len(texts) and size < 1_000_000:
+                    size += len(texts[to])
+                    to += 1
+                out.append(sent.value.scores(texts[at:to]))
+                at = to
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "held_out", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double")
@@ -174,4 +190,9 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.3) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+    """`score` with a model learned from at most `per_class` labelled documents of either class, never from held-out ones.
+
+    Labels that are null, or that mark one document both ways, aren't learned from; without labels of both classes every
+    text scores the share of the one that is there (0 without any). Empty tables of either kind are allowed.
+    """
     return score(docs, train(sample(docs, labels, label, per_class), shares(labels, label)))

@@ -345,4 +345,9 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
+    """`score` with a model learned from at most `per_class` labelled documents of either class, never from held-out ones.
+
+    Labels that are null, or that mark one document both ways, aren't learned from; without labels of both classes every
+    text scores near the one that is there (near 0 without any). Empty tables of either kind are allowed.
+    """
     return score(docs, train(sample(docs, labels, label, per_class)))

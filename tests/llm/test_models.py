@@ -153,6 +153,125 @@ def test_toxicity_held_out(spark, tables):
     assert auc > 0.95 and accuracy > 0.95
 
 
+def plain_quality(network, text):
+    """The score of one text by loops over passages, units and gates."""
+    import math
+
+    p, rows = network.p, quality.passages(text)
+    coded, weights = [], []
+    for row in rows:
+        x = [min(max((float(v) - float(m)) / float(s), -6), 6) for v, m, s in zip(row, network.mean, network.spread)]
+        h1 = [math.tanh(sum(x[i] * p["w1"][i, j] for i in range(len(x))) + p["b1"][j]) for j in range(quality.UNITS)]
+        h = [math.tanh(sum(h1[i] * p["w2"][i, j] for i in range(quality.UNITS)) + p["b2"][j]) for j in range(quality.UNITS)]
+        e = 0.0
+        for g in range(quality.GATE):
+            t = math.tanh(sum(h[i] * p["v"][i, g] for i in range(quality.UNITS)))
+            e += p["a"][g] * t / (1 + math.exp(-sum(h[i] * p["u"][i, g] for i in range(quality.UNITS))))
+        coded.append(h)
+        weights.append(math.exp(e))
+    z = [sum(w * h[j] for w, h in zip(weights, coded)) / sum(weights) for j in range(quality.UNITS)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["out"])) + p["base"][0])))
+
+
+def plain_toxicity(network, text):
+    """The logit of each window of one text by loops over words and units."""
+    import numpy as np
+
+    p, h = network.p, toxicity.HIDDEN
+    words = toxicity.words_of(text)
+    inputs = []
+    for w in words:
+        whole, grams = toxicity.word_inputs([w])
+        some = [p["gram"][g] for g in grams[0] if g >= 0]
+        inputs.append((p["word"][whole[0]] + (sum(some) / len(some) if some else 0)) @ p["in"] + p["bias"])
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    out = []
+    for start in toxicity.windows(len(words)):
+        here = inputs[start : start + toxicity.WINDOW]
+        both = np.zeros((len(here), 2 * h))
+        for d in (0, 1):
+            state = np.zeros(h)
+            for t in range(len(here)) if d == 0 else reversed(range(len(here))):
+                x, g = here[t][3 * h * d : 3 * h * (d + 1)], state @ p["rec"][d]
+                z, r = squash(x[:h] + g[:h]), squash(x[h : 2 * h] + g[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+                both[t, h * d : h * (d + 1)] = state
+        e = [np.tanh(s @ p["att"]) @ p["see"] for s in both]
+        a = np.exp(e) / np.exp(e).sum()
+        out.append(float((a @ both) @ p["out"] + p["base"][0]))
+    return out
+
+
+def test_quality_scores_by_brute_force(tables):
+    docs, labels = tables
+    some = labelled.sample(docs, labels, "quality", 150)
+    model = quality.train(some, {0: 0.5, 1: 0.5})
+    texts = ["", "one", *(t for t, _ in some[:12]), "long " * 1000]
+    for text, score in zip(texts, model.scores(texts)):
+        assert abs(score - plain_quality(model.network, text)) < 1e-5
+
+
+def test_toxicity_scores_by_brute_force(tables):
+    import numpy as np
+
+    docs, labels = tables
+    model = toxicity.train(labelled.sample(docs, labels, "toxic", 60))
+    texts = ["one", "two words", *(t for t, _ in labelled.sample(docs, labels, "toxic", 4)), "many more words " * 40]
+    for text, score in zip(texts, model.scores(texts, {}, np.empty((50_000, 6 * toxicity.HIDDEN), np.float32))):
+        logits = sorted(plain_toxicity(model.network, text), reverse=True)
+        three = sum(logits[min(k, len(logits) - 1)] for k in range(3)) / 3
+        assert abs(score - toxicity.sigmoid(np.array([1, logits[0], three, np.log(len(logits))]) @ model.weights)) < 1e-3
+
+
+def test_quality_gradients():
+    """backward() against finite differences of the loss, for some numbers of every parameter."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    rows = [rnd.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
+    network = quality.Attention(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    x, starts, of = quality.bags(rows)
+    target = np.array([1.0, 0.0, 1.0])
+    loss = lambda: float(np.log1p(np.exp(-(2 * target - 1) * network.forward(x, starts, of)[0])).sum())
+    logit, memory = network.forward(x, starts, of)
+    check_gradients(network.p, network.backward(quality.sigmoid(logit) - target, memory, starts, of), loss, rnd, 1e-5, 1e-4)
+
+
+def test_toxicity_gradients():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    network = toxicity.Network()
+    n, steps, h = 5, toxicity.WINDOW, toxicity.HIDDEN
+    table = rnd.normal(0, 0.5, (9, 6 * h))
+    index, mask = rnd.integers(0, 9, (n, steps)), np.ones((n, steps), np.float32)
+    mask[1, 7:] = mask[2, 1:] = 0
+    target = rnd.integers(0, 2, n).astype(float)
+    values = {**network.p, "table": table}
+    loss = lambda: float(np.log1p(np.exp(-(2 * target - 1) * network.read(values["table"], index, mask))).sum())
+    logit, memory = network.read(table, index, mask, keep=True)
+    g, dgates = network.backward(toxicity.sigmoid(logit) - target, memory)
+    g["table"] = np.zeros_like(table)
+    np.add.at(g["table"], index.T, dgates)
+    check_gradients(values, g, loss, rnd, 1e-2, 2e-2)
+
+
+def check_gradients(values, gradients, loss, rnd, by, tolerance):
+    import numpy as np
+
+    for name, g in gradients.items():
+        v, g, seen = values[name], np.asarray(g), []
+        for _ in range(8):
+            at = tuple(rnd.integers(0, n) for n in v.shape)
+            kept = v[at]
+            v[at] = kept + by
+            up = loss()
+            v[at] = kept - by
+            seen.append(((up - loss()) / (2 * by), g[at]))
+            v[at] = kept
+        assert max(abs(a - b) for a, b in seen) < tolerance * (1 + np.abs(g).max()), name
+
+
 @pytest.mark.parametrize("model, label", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
 def test_odd_rows(spark, make_docs, odd, model, label):
     labels = spark.createDataFrame([(i, i % 2, 7) for i in range(4)] + [(4, None, 7), (None, 1, 7), (6, 0, 7), (6, 1, 7)], f"doc_id bigint, {label} int, text int")
