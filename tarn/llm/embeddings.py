@@ -13,6 +13,7 @@ a count.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import durable, id_or_last, id_or_null, mix64, small
 from .components import components
 
-#: Rotations in a table that find a pair of cosine 0.9 with these odds when neighbours are probed (64 dimensions; more are better).
-ODDS = {1: 0.87, 2: 0.59, 3: 0.36, 4: 0.21}
+#: Rotations of a table: with more of them buckets are smaller, and a pair meets in fewer tables.
+MOST_ROTATIONS = 4
+#: Odds that a pair of the least cosine meets in no table.
 MISSED = 1e-4
 NEXT = 2
 CHUNK = 1024
@@ -69,6 +71,27 @@ class CrossPolytope:
         return mix64(x)
 
 
+@functools.lru_cache(maxsize=64)
+def odds(d: int, k: int, cosine: float, tables: int = 8) -> float:
+    """How likely a pair of this cosine in d dimensions meets in one table of k rotations: measured on random pairs."""
+    n = max(100, min(1500, (1 << 18) // d))
+    rng = np.random.default_rng([SEED, d, k])
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    b -= (a * b).sum(1, keepdims=True) * a
+    size = np.sqrt((b * b).sum(1, keepdims=True))
+    b = cosine * a + np.sqrt(1 - cosine * cosine) * (b / size if d > 1 else 0)
+    p, q = (CrossPolytope(k, tables).buckets(x) for x in (a, b))
+    met = (q == p[:, :, :1]).any(2) | (p == q[:, :, :1]).any(2)
+    return max(float(met.mean()) - 2 / math.sqrt(n * tables), 0.01)  # less two standard errors at most
+
+
+def tables_for(dimensions: list[int], k: int, cosine: float) -> int:
+    """So many tables that a pair of this cosine meets in none of them with odds MISSED, in whichever of the dimensions."""
+    least = min((odds(d, k, cosine) for d in dimensions), default=1.0)
+    return math.ceil(math.log(MISSED) / math.log(1 - min(least, 0.999)))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows (their length a power of two), scaled to keep norms."""
     n, d = x.shape
@@ -208,7 +231,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str =
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors of like dimension are linked if their cosine in double precision is least_cosine or more and they meet in a
-    bucket (about one pair in 1 / MISSED of cosine 0.9 doesn't; fewer of closer ones). A vector that is null, empty or
+    bucket (about one pair in 1 / MISSED of just that cosine doesn't, whatever its dimension; fewer of closer ones). A vector that is null, empty or
     zero, or holds a null or non-finite component, has no links. Equal vectors are linked. component_id is the least id
     reachable, itself included. A null id comes after all others and stays null; rows that share an id are each returned
     and count as vectors of their own. An empty table gives an empty one. Other columns are left behind.
@@ -227,10 +250,12 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str =
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("count"), F.first("vec").alias("vec"))
     classes = durable(classes, "distinct")
     n = classes.count()
-    width = classes.agg(F.max(F.size("vec"))).first()[0] or 1
+    # the widest vectors of each padded width: a dozen numbers or so
+    widths = [r["d"] for r in classes.groupBy(F.ceil(F.log2(F.size("vec")))).agg(F.max(F.size("vec")).alias("d")).collect()]
+    width = max(widths, default=1)
     # so many rotations that buckets stay small as the vectors grow in number, so many tables that few pairs are missed
-    k = min(max(ODDS), max(1, math.ceil(math.log(max(n / 32, 1)) / math.log(2 * max(2, width)))))
-    scheme = CrossPolytope(k, math.ceil(math.log(MISSED) / math.log(1 - ODDS[k])))
+    k = min(MOST_ROTATIONS, max(1, math.ceil(math.log(max(n / 32, 1)) / math.log(2 * max(2, width)))))
+    scheme = CrossPolytope(k, tables_for(widths, k, least_cosine))
     keyed = durable(hashed(classes, scheme), "hashed")
     each = 1 + NEXT * k
     large = durable(keyed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK), "large")

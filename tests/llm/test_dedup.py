@@ -291,6 +291,21 @@ def test_embeddings_one_large_group(spark):
     assert 0 <= missed <= 0.01 * sum(t[1] for t in truth)
 
 
+@pytest.mark.parametrize("d", [16, 64, 160])
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_pairs_meet(d, k):
+    """Of pairs of cosine 0.9, drawn anew, at most a few in a thousand meet in no table, whatever the width."""
+    rnd = np.random.default_rng(d + k)
+    scheme = embeddings.CrossPolytope(k, embeddings.tables_for([d], k, 0.9))
+    a, b = rnd.normal(size=(2, 500, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    p, q = scheme.buckets(a), scheme.buckets(b)
+    met = ((q == p[:, :, :1]).any(2) | (p == q[:, :, :1]).any(2)).any(1)
+    assert met.mean() >= 0.994
+
+
 def rule_counts(text):
     t = text or ""
     words = WORD.findall(t)
