@@ -10,14 +10,27 @@ from ..plans.durable import durable, hinted
 from .graph import BOTH, OUT, Graph
 
 
-def cooccurrence(members: DataFrame, window: int = 50) -> DataFrame:
-    """members (id, value) -> (a, b, weight): how many values each pair shares. Values with over `window` ids are skipped, as
-    the operator's definition has it, which also bounds the pairs that one value can make."""
+def cooccurrence(members: DataFrame, window: int = 50, weight: float = 1.0) -> DataFrame:
+    """members (id, value) -> (a, b, weight): for each value that a pair shares `weight` is added. Values with over `window`
+    ids are skipped, as the operator's definition has it, which also bounds the pairs that one value can make."""
     members = members.distinct()
     sized = members.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n").between(2, window)).select("value")
     kept = members.join(sized, "value")
     pairs = kept.select("value", F.col("id").alias("a")).join(kept.select("value", F.col("id").alias("b")), "value").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+    return pairs.groupBy("a", "b").agg((F.count("*") * F.lit(float(weight))).alias("weight"))
+
+
+def linked_by_property(graph: Graph, name: str, node_type: str | None = None, window: int = 50, weight: float = 1.0, edge_type: str = "COOCCUR") -> Graph:
+    """graph with an edge of edge_type between every two nodes (of a type) that share the value of a property, from the lesser
+    id to the greater; an edge of that kind that is there already gets the weight added."""
+    nodes = graph.nodes if node_type is None else graph.nodes.where(F.col("node_type") == node_type)
+    found = cooccurrence(nodes.select("id", F.col("props")[name].alias("value")).where("value is not null"), window, weight)
+    found = found.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(edge_type).alias("edge_type"), F.col("weight").alias("_more"))
+    ends = ["src", "dst", "edge_type"]
+    known = graph.edges.join(found, ends, "left").withColumn("weight", F.col("weight") + F.coalesce("_more", F.lit(0.0))).select(*graph.edges.columns)
+    fresh = found.join(graph.edges.select(*ends), ends, "left_anti")
+    fresh = fresh.select(F.xxhash64(*ends).alias("id"), *ends, F.col("_more").alias("weight"), F.lit(None).cast("map<string,string>").alias("props"))
+    return Graph(graph.nodes, known.unionByName(fresh.select(*graph.edges.columns)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -81,6 +94,47 @@ def cache_lookup(cache: DataFrame, query: list[float], now_ms: int, threshold: f
     return live.select("entry", "answer", score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "entry").limit(1)
 
 
+def cache_stored(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """cache after rows (seq, entry, vec, answer, tag, expires_at) are stored: the last row of an entry replaces it."""
+    last = rows.groupBy("entry").agg(F.max_by(F.struct("vec", "answer", "tag", "expires_at"), "seq").alias("_r"))
+    columns = ["entry", "vec", "answer", "tag", "expires_at"]
+    return cache.select(*columns).join(last, "entry", "left_anti").unionByName(last.select("entry", "_r.*").select(*columns))
+
+
+def cache_invalidated(cache: DataFrame, tag: str | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """cache without the entries of a tag, or those named (entry); without either, without all."""
+    if entries is not None:
+        return cache.join(entries.select("entry").distinct(), "entry", "left_anti").select(*cache.columns)
+    return cache.where(F.lit(False) if tag is None else ~F.col("tag").eqNullSafe(F.lit(tag)))
+
+
+def cache_stats(cache: DataFrame, now_ms: int) -> DataFrame:
+    """Per tag: entries, those that are live, and the bytes of their answers."""
+    live = F.col("expires_at").isNull() | (F.col("expires_at") >= now_ms)
+    return cache.groupBy("tag").agg(F.count("*").alias("entries"), F.count_if(live).alias("live"), F.coalesce(F.sum(F.octet_length("answer")), F.lit(0)).cast("long").alias("bytes"))
+
+
+def memories_related(relations: DataFrame, rows: DataFrame) -> DataFrame:
+    """relations (a, b, kind, weight) with rows (seq, a, b, kind, weight): the last weight of a relation stands."""
+    key = ["a", "b", "kind"]
+    last = rows.groupBy(*key).agg(F.max_by("weight", "seq").alias("weight"))
+    return relations.select(*key, "weight").join(last.select(*key), key, "left_anti").unionByName(last)
+
+
+def memory_context(found: DataFrame, relations: DataFrame) -> DataFrame:
+    """found (memory, score) and what is related to it, either way, one step on: memory, score (null if only related), via
+    (the least of the memories found that it is related to)."""
+    both = relations.select("a", "b").unionByName(relations.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(found.select(F.col("memory").alias("a")), "a").groupBy(F.col("b").alias("memory")).agg(F.min("a").alias("via"))
+    near = near.join(found.select("memory"), "memory", "left_anti").select("memory", F.lit(None).cast("double").alias("score"), "via")
+    return found.select("memory", "score", F.lit(None).cast(near.schema["via"].dataType).alias("via")).unionByName(near)
+
+
+def memories_listed(memories: DataFrame, limit: int, least_importance: float = 0.0) -> DataFrame:
+    """The latest memories of some importance: memory, importance, uses, at_ms."""
+    return memories.where(F.col("importance") >= least_importance).select("memory", "importance", "uses", "at_ms").orderBy(F.desc("at_ms"), "memory").limit(limit)
+
+
 def recall(memories: DataFrame, query: list[float], now_ms: int, k: int, half_life_ms: float) -> DataFrame:
     """memories (memory, vec, importance, uses, at_ms) -> the k of highest score: similar, recent, important, used."""
     near = similarity(F.col("vec"), query)

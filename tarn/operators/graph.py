@@ -93,6 +93,8 @@ def traverse(graph: Graph, seeds: DataFrame, depth: int = 10, direction: str = O
     arcs = graph.arcs(direction, edge_types).select("src", "dst")
     if node_type is not None and not graph.nodes.where(F.col("node_type") == node_type).isEmpty():
         arcs = arcs.join(graph.nodes.where(F.col("node_type") == node_type).select(F.col("id").alias("dst")), "dst", "left_semi")
+    if depth > 1:
+        arcs = durable(arcs, "arcs")  # read at every level
     frontier = durable(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)), "level")
     visited, level = frontier, 0
     while level < depth:

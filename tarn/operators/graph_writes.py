@@ -29,6 +29,18 @@ def upsert_nodes(graph: Graph, rows: DataFrame) -> Graph:
     return Graph(both.select(F.coalesce("id", node_id("key")).alias("id"), "key", F.coalesce("node_type", "_type").alias("node_type"), props.alias("props")), graph.edges)
 
 
+def add_nodes(graph: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph with the rows (seq, key, node_type, props) whose key is new; the others, as seq, key and error).
+
+    Of several rows with one new key the first is added.
+    """
+    fresh = rows.join(graph.nodes.select("key"), "key", "left_anti")
+    first = fresh.groupBy("key").agg(F.min_by(F.struct("node_type", "props"), "seq").alias("_n"), F.min("seq").alias("_seq"))
+    added = first.select(node_id("key").alias("id"), "key", F.col("_n.node_type").alias("node_type"), F.coalesce("_n.props", F.create_map().cast("map<string,string>")).alias("props"))
+    refused = rows.join(first.select("key", "_seq"), "key", "left").where("_seq is null or seq <> _seq").select("seq", "key", F.lit("ERR node already exists").alias("error"))
+    return Graph(graph.nodes.select(*added.columns).unionByName(added), graph.edges), refused
+
+
 def add_edges(graph: Graph, rows: DataFrame) -> Graph:
     """graph with rows (id, from_key, to_key, edge_type, weight): parallel edges stay apart; an edge needs both nodes; a missing weight is 1."""
     ids = graph.nodes.select("id", "key")
@@ -64,6 +76,22 @@ def delete_nodes(graph: Graph, keys: DataFrame) -> Graph:
     return Graph(graph.nodes.join(gone, "id", "left_anti"), edges.select(*graph.edges.columns))
 
 
+def delete_vectors(graph: Graph, vectors: DataFrame, keys: DataFrame) -> DataFrame:
+    """vectors without those of the nodes of keys (key): what goes with `delete_nodes`."""
+    gone = graph.nodes.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("node_id"))
+    return vectors.join(gone, "node_id", "left_anti").select(*vectors.columns)
+
+
+def set_edge_properties(graph: Graph, rows: DataFrame) -> Graph:
+    """graph with rows (seq, id, k, v) written to edges that are there."""
+    last = rows.groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
+    maps = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_props"))
+    old, added = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in ("props", "_props"))
+    props = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(added, k)), added)
+    known = graph.edges.join(maps, "id", "left").withColumn("props", F.when(F.col("_props").isNull(), F.col("props")).otherwise(props))
+    return Graph(graph.nodes, known.select(*graph.edges.columns))
+
+
 def delete_edges(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(graph.nodes, graph.edges.join(ids.select("id").distinct(), "id", "left_anti"))
 
@@ -74,6 +102,16 @@ def set_properties(graph: Graph, rows: DataFrame) -> Graph:
     return upsert_nodes(graph, known.select("seq", "key", F.lit(None).cast("string").alias("node_type"), F.create_map("k", "v").alias("props")))
 
 
+def get_vectors(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (pos, node_id, field) -> with vec, null where there is none."""
+    return wanted.join(vectors, ["node_id", "field"], "left").select("pos", "node_id", "field", "vec")
+
+
+def count_vectors(vectors: DataFrame) -> DataFrame:
+    """Per field how many vectors there are, and their dimension."""
+    return vectors.groupBy("field").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dimension"))
+
+
 def set_vectors(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     """vectors (node_id, field, vec) with rows (seq, node_id, field, vec), normalised: the last write wins.
 

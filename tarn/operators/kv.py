@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import glob_regex, live, ttl_ms, ttl_seconds
-from ..plans.durable import carried
+from ..plans.durable import carried, durable, running
 
 KEY = ["db", "key"]
 #: What a key and its entry take besides their bytes.
@@ -76,15 +76,15 @@ def keys_like(kv: DataFrame, pattern: str, now_ms: int) -> DataFrame:
     return (found.where(F.col("key").startswith(head)) if head else found).select(*KEY)
 
 
-def scan_page(kv: DataFrame, after: str | None, count: int, now_ms: int, pattern: str = "*") -> DataFrame:
-    """A page of a scan: the next `count` live keys of the pattern after the key `after`, with values, in order of key, db.
+def scan_page(kv: DataFrame, after: tuple[str, int] | None, count: int, now_ms: int, pattern: str = "*") -> DataFrame:
+    """A page of a scan: the next `count` live keys of the pattern after the cursor, with values, in order of key, db.
 
-    The cursor is the last key of the page before rather than an offset, so a page is a top-k and never a full sort. The
-    keys of all databases with that name belong to one page's end; pass a single database for exact paging.
+    The cursor is key and db of the last row of the page before rather than an offset, so a page is a top-k and never a full sort.
     """
     found = live_keys(kv, now_ms).where(F.col("key").rlike(glob_regex(pattern)))
     if after is not None:
-        found = found.where(F.col("key") > after)
+        key, db = after
+        found = found.where((F.col("key") > key) | (F.col("key") == key) & (F.col("db") > db))
     return found.orderBy("key", "db").limit(count).select(*KEY, "value")
 
 
@@ -94,26 +94,30 @@ def scan_values(kv: DataFrame, prefix: str, count: int, now_ms: int) -> DataFram
 
 
 def any_key(kv: DataFrame, now_ms: int, seed: int = 0) -> DataFrame:
-    """One live key, drawn by a seeded hash."""
-    return live_keys(kv, now_ms).orderBy(F.xxhash64(F.lit(seed), *KEY), *KEY).limit(1).select(*KEY, "value")
+    """One live key, drawn by a seeded hash of its name."""
+    return live_keys(kv, now_ms).orderBy(F.md5(F.concat_ws(":", F.lit(seed), *KEY)), *KEY).limit(1).select(*KEY, "value")
 
 
-def evicted(kv: DataFrame, budget: int, bucket_ms: int = 60_000) -> DataFrame:
+def evicted(kv: DataFrame, budget: int, buckets: int = 1000) -> DataFrame:
     """What stays within `budget` bytes when the keys least recently accessed go first (kv with last_access).
 
-    Bytes are summed per access time; running sums over whole buckets of time are few rows, and only the bucket in which
-    the budget ends is sorted by key. Every key that fits in order of (last_access, key, db), latest first, stays.
+    Bytes are summed per slice of access time, `buckets` of them; running sums over these are few rows, and only the slice in
+    which the budget ends is ordered by key, range by range, so a bulk load of one moment is many tasks too. Every key that
+    fits in order of (last_access, key, db), latest first, stays.
     """
     sized = kv.withColumn("_bytes", (F.octet_length("value") + F.octet_length("key") + ENTRY_BYTES).cast("long"))
-    sized = sized.withColumn("_bucket", F.floor(F.col("last_access") / bucket_ms))
+    low, high = kv.agg(F.min("last_access"), F.max("last_access")).first()
+    if low is None:
+        return kv
+    width = (high - low) // buckets + 1
+    sized = sized.withColumn("_bucket", F.floor((F.col("last_access") - low) / width))
     sums = sized.groupBy("_bucket").agg(F.sum("_bytes").alias("_sum"))
-    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(later), F.lit(0))).where(F.col("_base") < budget)
+    sized = sized.join(F.broadcast(base), "_bucket")  # `buckets` rows at most
     whole = F.col("_base") + F.col("_sum") <= budget
-    within = Window.partitionBy("_bucket").orderBy(F.desc("last_access"), F.desc("key"), F.desc("db")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = sized.join(base, "_bucket")
-    edge = sized.where(~whole).withColumn("_run", F.sum("_bytes").over(within) + F.col("_base")).where(F.col("_run") <= budget)
-    return sized.where(whole).select(*kv.columns).unionByName(edge.select(*kv.columns))
+    edge = running(sized.where(~whole), [F.desc("last_access"), F.desc("key"), F.desc("db")], F.col("_bytes"), "_run")
+    return sized.where(whole).select(*kv.columns).unionByName(edge.where(F.col("_run") + F.col("_base") <= budget).select(*kv.columns))
 
 
 # folds
@@ -262,36 +266,72 @@ def final_state(replied: DataFrame) -> DataFrame:
 # whole-table writes
 
 
+def ordered(moves: DataFrame) -> DataFrame:
+    """moves with _at, which orders them: their seq, or where they have none their key and db."""
+    return moves.withColumn("_at", F.struct(*(c for c in ("seq", "key", "db", "to") if c in moves.columns)))
+
+
 def renamed(kv: DataFrame, moves: DataFrame, if_absent: bool = False) -> DataFrame:
-    """kv after moves (db, key, to; keys distinct): values go over, expiries don't; with if_absent only to names not taken."""
-    moves = moves.join(kv.select(*KEY), KEY, "left_semi")
+    """kv after moves (db, key, to; seq if there is one orders them): values go over, expiries don't.
+
+    All moves start from the state before. A key goes with its first move. Of several moves to one name the last wins and
+    the others' keys are gone, as if they had been overwritten one after the other; with if_absent only names not taken are
+    given, each to its first move, and the other keys stay.
+    """
+    moves = ordered(moves).join(kv.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min_by("to", "_at").alias("to"), F.min("_at").alias("_at"))
     if if_absent:
         moves = moves.join(kv.select("db", F.col("key").alias("to")), ["db", "to"], "left_anti")
-    gone = moves.select(*KEY).unionByName(moves.select("db", F.col("to").alias("key"))).distinct()
-    new = moves.join(kv, KEY).select("db", F.col("to").alias("key"), "value", F.lit(None).cast("long").alias("expires_at"))
+    winner = (F.min_by if if_absent else F.max_by)("key", "_at").alias("key")
+    won = moves.groupBy("db", "to").agg(winner)
+    gone = (won if if_absent else moves).select(*KEY).unionByName(won.select("db", F.col("to").alias("key"))).distinct()
+    new = won.join(kv, KEY).select("db", F.col("to").alias("key"), "value", F.lit(None).cast("long").alias("expires_at"))
     return kv.join(gone, KEY, "left_anti").select(*KEY, "value", "expires_at").unionByName(new)
 
 
 def copied(kv: DataFrame, moves: DataFrame, replace: bool = False) -> DataFrame:
-    """kv and copies (db, key, to) of values without expiry; a name that is taken stays unless `replace`."""
-    new = moves.join(kv, KEY).select("db", F.col("to").alias("key"), "value", F.lit(None).cast("long").alias("expires_at"))
+    """kv and copies (db, key, to; seq if there is one orders them) of values without expiry.
+
+    A name that is taken, by kv or by an earlier copy, stays; with `replace` it is written over, so the last copy wins.
+    """
+    new = ordered(moves).join(kv.select(*KEY, "value"), KEY)
+    new = new.groupBy("db", F.col("to").alias("key")).agg((F.max_by if replace else F.min_by)("value", "_at").alias("value"))
+    new = new.withColumn("expires_at", F.lit(None).cast("long"))
     if replace:
         return kv.join(new.select(*KEY), KEY, "left_anti").select(*KEY, "value", "expires_at").unionByName(new)
     return kv.select(*KEY, "value", "expires_at").unionByName(new.join(kv.select(*KEY), KEY, "left_anti"))
 
 
 def moved(kv: DataFrame, wanted: DataFrame, to_db: int) -> DataFrame:
-    """kv with the wanted keys (db, key) in another database, expiries kept, unless a key of that name is there."""
-    free = wanted.join(kv.select(*KEY), KEY, "left_semi").join(kv.where(F.col("db") == to_db).select("key"), "key", "left_anti").select(*KEY, F.lit(True).alias("_go"))
+    """kv with the wanted keys (db, key) in another database, expiries kept, unless a key of that name is there.
+
+    Of keys of one name in several databases the one of the least database goes.
+    """
+    free = wanted.join(kv.select(*KEY), KEY, "left_semi").join(kv.where(F.col("db") == to_db).select("key"), "key", "left_anti")
+    free = free.groupBy("key").agg(F.min("db").alias("db")).withColumn("_go", F.lit(True))
     out = kv.join(free, KEY, "left")
     return out.withColumn("db", F.when(F.col("_go"), F.lit(to_db)).otherwise(F.col("db"))).select(*KEY, "value", "expires_at")
 
 
 def set_if_none(kv: DataFrame, batches: DataFrame) -> DataFrame:
-    """kv after multi-key writes (batch, db, key, value), each done only if none of its keys exists before."""
-    taken = batches.join(kv.select(*KEY), KEY, "left_semi").select("batch").distinct()
-    new = batches.join(taken, "batch", "left_anti").groupBy(*KEY).agg(F.min_by("value", "batch").alias("value"))
-    return kv.select(*KEY, "value", "expires_at").unionByName(new.withColumn("expires_at", F.lit(None).cast("long")))
+    """kv after multi-key writes (batch, db, key, value) in order of batch, each done whole or not at all.
+
+    A batch is done if none of its keys is there before it: not in kv, nor by an earlier batch that was done. Each round does
+    every batch that comes first for all of its keys among those undecided, and drops those that share a key with one done;
+    rounds are as many as the longest chain of batches that wait for one another. A key that a batch names twice takes the
+    greater value.
+    """
+    rows = batches.select("batch", *KEY, "value")
+    taken = rows.join(kv.select(*KEY), KEY, "left_semi").select("batch").distinct()
+    waiting = durable(rows.join(taken, "batch", "left_anti"), "waiting")
+    out = kv.select(*KEY, "value", "expires_at")
+    while not waiting.isEmpty():
+        first = waiting.groupBy(*KEY).agg(F.min("batch").alias("_first"))
+        judged = waiting.join(first, KEY).groupBy("batch").agg(F.min(F.col("batch") == F.col("_first")).alias("_go")).where("_go").select("batch")
+        done = durable(waiting.join(judged, "batch", "left_semi"), "done")
+        out = out.unionByName(done.groupBy(*KEY).agg(F.max("value").alias("value")).withColumn("expires_at", F.lit(None).cast("long")))
+        lost = waiting.join(done.select(*KEY).distinct(), KEY, "left_semi").select("batch").distinct()
+        waiting = durable(waiting.join(lost, "batch", "left_anti"), "waiting")
+    return out
 
 
 def flushed(kv: DataFrame, db: int | None = None) -> DataFrame:

@@ -44,12 +44,20 @@ def in_range(items: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def replaced(items: DataFrame, changes: DataFrame) -> DataFrame:
-    """Lists after changes (db, key, at, new), at most one per place; a place out of range is left alone."""
+    """Lists after changes (db, key, at, new), at most one per place; a place out of range is left alone (`out_of_range` names it)."""
     rows = placed(items)
     changes = changes.join(lengths(items), KEY).select(*KEY, F.when(F.col("at") < 0, F.col("at") + F.col("n")).otherwise(F.col("at")).alias("index"), "new", F.lit(True).alias("_hit"))
     return rows.join(changes, [*KEY, "index"], "left").select(*KEY, "pos", F.when(F.col("_hit"), F.col("new")).otherwise(F.col("value")).alias("value"))
 
 
+def out_of_range(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Of changes (db, key, at, new) those that `replaced` cannot make, with the error: no such list, or no such place in it."""
+    met = changes.join(lengths(items), KEY, "left")
+    fits = (F.col("at") < F.col("n")) & (F.col("at") >= -F.col("n"))
+    error = F.when(F.col("n").isNull(), "ERR no such key").when(~fits, "ERR index out of range")
+    return met.select(*KEY, "at", error.alias("error")).where("error is not null")
+
+
 def removed(items: DataFrame, value: str, count: int = 0) -> DataFrame:
     """Lists without `value`: its first count occurrences from the head, from the tail if count < 0, all if 0."""
     if count == 0:

@@ -23,7 +23,7 @@ def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
     Both ends are walked towards each other, the side with the smaller frontier first; pairs that met, or have one side
     used up, drop out. Of several shortest paths the one with the least ids in order is returned. a = b is a path of one node.
     """
-    arcs = graph.arcs(BOTH).select("src", "dst").distinct()
+    arcs = durable(graph.arcs(BOTH).select("src", "dst").distinct(), "arcs")  # read every round
     live = pairs.join(graph.nodes.select(F.col("id").alias("a")), "a", "left_semi").join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
     sides = [durable(live.select("pair", F.col(c).alias("id"), F.array(c).alias("path")), "side") for c in ("a", "b")]
     seen, hops, found = [*sides], 0, None
@@ -45,26 +45,29 @@ def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
 
 
 def lightest(graph: Graph, pairs: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
-    """pairs (pair, a, b) -> pair, weight, path of a lightest directed path; weights must not be negative.
+    """pairs (pair, a, b) -> pair, weight, path of a lightest directed path; a negative weight is an error.
 
-    Rounds of relaxation: only rows that got lighter are walked on, and none that is not lighter than the pair's best path
-    so far. Of equally light paths the one with fewer nodes, then the least ids, is returned.
+    Rounds of relaxation: only rows that got lighter are walked on and written, and none that is not lighter than the pair's
+    best path so far. Of equally light paths the one with fewer nodes, then the least ids, is returned.
     """
-    arcs = graph.arcs(OUT, edge_types).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    arcs = durable(graph.arcs(OUT, edge_types).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "arcs")  # read every round
+    if not arcs.where("weight < 0").isEmpty():
+        raise ValueError("lightest paths need weights of 0 or more")
     live = pairs.join(graph.nodes.select(F.col("id").alias("a")), "a", "left_semi").join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
     cost = F.struct(F.col("weight").alias("weight"), F.size("path").alias("n"), F.col("path").alias("path"))
-    best = durable(live.select("pair", "b", F.col("a").alias("id"), F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("n"), F.array("a").alias("path")).alias("cost")), "best")
-    frontier = best
+    frontier = durable(live.select("pair", "b", F.col("a").alias("id"), F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("n"), F.array("a").alias("path")).alias("cost")), "lighter")
+    best = frontier  # what every round wrote: a node's cost is the least of its rows
     while n := frontier.count():
-        bound = best.where("id = b").select("pair", F.col("cost.weight").alias("bound"))
+        bound = best.where("id = b").groupBy("pair").agg(F.min("cost.weight").alias("bound"))
         step = arcs.join(hinted(frontier.select("pair", "b", F.col("id").alias("src"), F.col("cost.weight").alias("w"), F.col("cost.path").alias("p")), n), "src")
         step = step.select("pair", "b", F.col("dst").alias("id"), (F.col("w") + F.col("weight")).alias("weight"), F.concat("p", F.array("dst")).alias("path"))
         step = step.join(bound, "pair", "left").where(F.coalesce(F.col("weight") <= F.col("bound"), F.lit(True)))
         step = step.groupBy("pair", "b", "id").agg(F.min(cost).alias("new"))
-        step = step.join(best.select("pair", "id", F.col("cost").alias("old")), ["pair", "id"], "left").where("old is null or new < old")
+        old = best.groupBy("pair", "id").agg(F.min("cost").alias("old"))
+        step = step.join(old, ["pair", "id"], "left").where("old is null or new < old")
         frontier = durable(step.select("pair", "b", "id", F.col("new").alias("cost")), "lighter")
-        best = durable(best.join(frontier.select("pair", "id"), ["pair", "id"], "left_anti").unionByName(frontier), "best")
-    return best.where("id = b").select("pair", "cost.weight", "cost.path")
+        best = best.unionByName(frontier)
+    return best.where("id = b").groupBy("pair").agg(F.min("cost").alias("cost")).select("pair", "cost.weight", "cost.path")
 
 
 def to_type(graph: Graph, seeds: DataFrame, node_type: str, depth: int = 10, edge_types: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -74,7 +77,7 @@ def to_type(graph: Graph, seeds: DataFrame, node_type: str, depth: int = 10, edg
     `limit` paths a seed, the shortest, of equal length those with the least ids; a seed with enough paths is walked no further.
     """
     targets = graph.nodes.where(F.col("node_type") == node_type).select(F.col("id").alias("dst"), F.lit(True).alias("_hit"))
-    arcs = graph.arcs(OUT, edge_types).select("src", "dst").join(targets, "dst", "left")
+    arcs = durable(graph.arcs(OUT, edge_types).select("src", "dst").join(targets, "dst", "left"), "arcs")  # read every round
     open_ = durable(seeds.select("seed", "id", F.array("id").alias("path")), "open")
     found = None
     for hops in range(1, depth + 1):

@@ -21,6 +21,11 @@ def is_member(members: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(members.select(*MEMBER, F.lit(True).alias("_f")), MEMBER, "left").select("pos", *MEMBER, F.coalesce("_f", F.lit(False)).alias("found"))
 
 
+def of(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """Members of the sets asked for (db, key); a set that isn't there has none."""
+    return members.join(keys.select(*KEY).distinct(), KEY, "left_semi").select(*MEMBER)
+
+
 def cardinalities(members: DataFrame) -> DataFrame:
     return members.groupBy(*KEY).agg(F.count("*").alias("n"))
 

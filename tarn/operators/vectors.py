@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalized, similarity
+from ..functions.columns import dot, normalized, similarity
 from .graph import OUT, Graph, traverse
 
 #: Queries whose matrix is sent to every task at a time; more are searched block by block.
@@ -74,6 +74,38 @@ def approximate_index(vectors: DataFrame, dimension: int, tables: int = 12, buck
     return model, model.transform(ready)
 
 
+def save_index(index, folder: str) -> None:
+    """Write an approximate index: the model, and the table with its hashes, which is not fitted or hashed again."""
+    model, table = index
+    model.write().overwrite().save(f"{folder}/model")
+    table.write.mode("overwrite").parquet(f"{folder}/table")
+
+
+def load_index(spark: SparkSession, folder: str):
+    from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+    return BucketedRandomProjectionLSHModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/table")
+
+
+def approximate_nearest_many(index, queries: DataFrame, k: int, together: int = 4) -> DataFrame:
+    """queries (query, vec) -> (query, node_id, score, rank) of about the k nearest of each, in one plan.
+
+    Queries are hashed like the vectors; `together` hashes make a bucket, and both meet in the buckets. Pairs that meet in
+    several count once, and the score is exact. A vector is met by the queries of its buckets alone, never by other vectors.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    model, table = index
+    asked = model.transform(queries.select("query", array_to_vector(normalized(F.col("vec"))).alias("features")))
+    buckets = [F.xxhash64(F.lit(i), *(vector_to_array(F.col("hashes")[i + j])[0] for j in range(together))) for i in range(0, model.getNumHashTables() - together + 1, together)]
+    met = asked.select("query", F.explode(F.array(*buckets)).alias("bucket")).join(table.select("node_id", F.explode(F.array(*buckets)).alias("bucket")), "bucket")
+    pairs = met.select("query", "node_id").distinct()
+    unit = lambda df, id_, name: df.select(id_, vector_to_array("features").alias(name))
+    scored = pairs.join(unit(table, "node_id", "vec"), "node_id").join(unit(asked, "query", "q"), "query").select("query", "node_id", dot(F.col("q"), F.col("vec")).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def approximate_nearest(index, query: list[float], k: int) -> DataFrame:
     """About the k nearest by cosine: candidates share a hash with the query; the score is exact."""
     from pyspark.ml.linalg import Vectors
@@ -98,6 +130,15 @@ def retrieve(graph: Graph, vectors: DataFrame, query: list[float], k: int, depth
     return out.select("id", "key", "score", "props", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
 
 
+def retrieved_subgraph(graph: Graph, vectors: DataFrame, query: list[float], k: int, depth: int = 1, direction: str = OUT, edge_types: list[str] | None = None, node_type: str | None = None, field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, key, node_type, score, which is -1 for those that the expansion of the k nearest adds; edges among them)."""
+    alive = vectors.join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    hits = nearest(alive, query, k, field).select(F.col("node_id").alias("id"), "score")
+    reached = traverse(graph, hits.select(F.col("id").alias("seed"), "id"), depth, direction, edge_types, node_type).select("id").distinct()
+    nodes = graph.typed(reached.join(hits, "id", "left")).select("id", "key", "node_type", F.coalesce("score", F.lit(-1.0)).alias("score"))
+    return nodes, subgraph(graph, nodes.select("id"))
+
+
 def subgraph(graph: Graph, ids: DataFrame) -> DataFrame:
     """Edges among the nodes of ids (id)."""
     wanted = ids.select("id").distinct()

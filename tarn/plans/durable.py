@@ -15,21 +15,39 @@ HOT_ROWS = 5_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a folder of our own where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). In local mode, where one machine is all there is, a
+    folder of our own stands in for it if it is unset; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+_WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and scanned again: lineage ends here."""
+    """df written as Parquet in the shared folder and scanned again: lineage ends here. `release` deletes what is no longer needed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate that this process has written so far, and say how many. Call it once the results that were
+    made from them are written or collected: frames not yet computed would miss them."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are few; else as it is, and the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -68,3 +86,17 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rank", ho
     within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
     out = ranges.withColumn("_within", within).join(sizes, [*keys, "_range"])
     return out.withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).drop("_range", "_base", "_within")
+
+
+def running(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of value over the row itself and all before it in the given order, over the whole table.
+
+    Rows are dealt by ranges of the order; what is summed in one task is a range, or one number per range.
+    """
+    ranges = durable(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_part").agg(F.sum("_value").alias("_all"))  # a row per partition
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
+    within = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranges.withColumn("_within", within).join(F.broadcast(sizes), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within", "_value")

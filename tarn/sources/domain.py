@@ -31,17 +31,17 @@ def log(spark: SparkSession, sf_dir: str, ops: dict[str, str] = OPS) -> DataFram
         op = F.when(F.col("event_type") == event, name).otherwise(op)
     cents = F.floor(F.col("value") * 100 + 0.5)
     ts_ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1000")
-    ttl = F.when((F.col("event_type") == "purchase") & (op == "SET"), (F.col("event_id") % 7 + 1) * DAY_MS)
+    ttl = F.when((F.col("event_type") == "purchase") & (op == "SET") | (op == "EXPIRE"), (F.col("event_id") % 7 + 1) * DAY_MS)
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), ts_ms.alias("ts_ms"), (F.col("user_id") % 4).cast("int").alias("db"), F.concat(F.lit("u:"), "user_id").alias("key"), op.alias("op"), cents.cast("string").alias("value"), cents.alias("delta"), ttl.alias("ttl_ms"))
     return rows.where("op is not null")
 
 
 def log_sql(ops: dict[str, str] = OPS) -> str:
     op = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{o}'" for e, o in ops.items()) + " END"
-    ttl = f"(event_id % 7 + 1) * {DAY_MS}" if ops.get("purchase") == "SET" else "NULL"
+    expires = " OR ".join(f"event_type = '{e}'" for e, o in ops.items() if o == "EXPIRE" or e == "purchase" and o == "SET") or "FALSE"
     return f"""log AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, CAST(user_id % 4 AS INTEGER) AS db, 'u:' || user_id AS key, {op} AS op,
     CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) AS VARCHAR) AS value, CAST(floor(value * 100 + 0.5) AS BIGINT) AS delta,
-    CASE WHEN event_type = 'purchase' THEN {ttl} END AS ttl_ms FROM events WHERE {op} IS NOT NULL)"""
+    CASE WHEN {expires} THEN (event_id % 7 + 1) * {DAY_MS} END AS ttl_ms FROM events WHERE {op} IS NOT NULL)"""
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,36 @@ def test_log_compaction(spark, tmp_path):
     assert short.count() == 2
     assert sorted(map(tuple, kv.final_state(kv.replay(short)).collect())) == sorted(map(tuple, kv.final_state(kv.replay(log)).collect())) == [(0, "a", "5", None), (0, "b", "x", 52)]
     assert list(itertools.chain(short.columns)) == log.columns
+
+
+def test_negative_weights_raise(spark):
+    g = made(spark, "ab", [("a", "b", "link", -1.0), ("b", "a", "link", -1.0)])
+    with pytest.raises(ValueError):
+        paths.lightest(g, pair(spark, 0, 1))
+
+
+def test_nodes_are_added_once(spark):
+    g = made(spark, "ab", ["ab"])
+    rows = spark.createDataFrame([(1, "a", "x", {}), (2, "new", "first", {"p": "1"}), (3, "new", "second", {})], "seq int, key string, node_type string, props map<string,string>")
+    more, refused = graph_writes.add_nodes(g, rows)
+    assert {(r["key"], r["node_type"]) for r in more.nodes.collect()} == {("a", "t"), ("b", "t"), ("new", "first")}
+    assert sorted((r["seq"], r["key"]) for r in refused.collect()) == [(1, "a"), (3, "new")]
+
+
+def test_edge_properties(spark):
+    g = made(spark, "abc", ["ab", "bc"])
+    rows = spark.createDataFrame([(1, 0, "k", "old"), (2, 0, "k", "new"), (1, 99, "k", "none")], "seq int, id bigint, k string, v string")
+    assert {r["id"]: r["props"] for r in graph_writes.set_edge_properties(g, rows).edges.collect()} == {0: {"k": "new"}, 1: None}
+
+
+def test_vectors_go_with_their_nodes(spark):
+    g = made(spark, "ab", ["ab"])
+    kept = graph_writes.delete_vectors(g, embedded(spark, (1, 0), (0, 1)), spark.createDataFrame([("a",)], "key string"))
+    assert [r["node_id"] for r in kept.collect()] == [1]
+
+
+def test_index_is_read_again(spark, tmp_path):
+    rows = embedded(spark, *((float(i % 7 - 3), float(i % 5 - 2), float(i % 3 + 1)) for i in range(60)))
+    vectors.save_index(vectors.approximate_index(rows, 3, tables=24), str(tmp_path))
+    found = vectors.approximate_nearest_many(vectors.load_index(spark, str(tmp_path)), rows.where("node_id < 3").selectExpr("node_id query", "vec"), 1, together=3)
+    assert {r["query"]: round(r["score"], 6) for r in found.collect()} == {0: 1.0, 1: 1.0, 2: 1.0}

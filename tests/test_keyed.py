@@ -1,5 +1,6 @@
 """Keyed collections: small cases with known results, and the log's replay against a plain interpreter."""
 
+import os
 import random
 
 import pytest
@@ -102,7 +103,7 @@ def test_keys_and_scan(spark):
     state = kv.last_write(log(spark, *((0, k, "SET", "v", None, None) for k in ("hello", "hallo", "help", "other"))))
     assert sorted(r["key"] for r in kv.keys_like(state, "h?llo", 0).collect()) == ["hallo", "hello"]
     first = [r["key"] for r in kv.scan_page(state, None, 2, 0).collect()]
-    assert first == ["hallo", "hello"] and [r["key"] for r in kv.scan_page(state, first[-1], 9, 0).collect()] == ["help", "other"]
+    assert first == ["hallo", "hello"] and [r["key"] for r in kv.scan_page(state, (first[-1], 0), 9, 0).collect()] == ["help", "other"]
     assert kv.any_key(state, 0).count() == 1 and kv.flushed(state).count() == 0 and kv.flushed(state, 1).count() == 4
 
 
@@ -118,7 +119,7 @@ def test_rename_copy_move(spark):
 
 def test_eviction_keeps_what_fits(spark):
     state = spark.createDataFrame([(0, f"k{i}", "v" * i, None, i * 1000) for i in range(40)], "db int, key string, value string, expires_at bigint, last_access bigint")
-    kept = sorted(r["last_access"] for r in kv.evicted(state, 500, bucket_ms=7000).collect())
+    kept = sorted(r["last_access"] for r in kv.evicted(state, 500, buckets=7).collect())
     size, expected = 0, []
     for i in reversed(range(40)):
         size += i + len(f"k{i}") + 56
@@ -192,3 +193,63 @@ def test_transactions(spark):
     queued = spark.createDataFrame([(t, n, 9, 0, f"k{t}", "SET", "v", None, None) for t in (1, 2, 4) for n in (0, 1)], "txn int, nth int, " + LOG.replace("seq bigint, ", ""))
     got = transactions.committed(base, queued, watched, after=1).orderBy("seq").collect()
     assert [(r["seq"], r["txn"], r["key"]) for r in got] == [(2, 1, "k1"), (3, 1, "k1"), (4, 4, "k4"), (5, 4, "k4")]
+
+
+def test_moves_that_collide(spark):
+    """Several keys to one name, one key to several, and names that are taken."""
+    state = spark.createDataFrame([(0, k, k * 2, 9) for k in "abcd"] + [(1, "a", "1a", None)], "db int, key string, value string, expires_at bigint")
+    moves = spark.createDataFrame([(2, 0, "b", "t"), (1, 0, "a", "t"), (3, 0, "c", "u"), (4, 0, "c", "v"), (5, 0, "none", "w"), (6, 1, "a", "t")], "seq int, db int, key string, to string")
+    rows = lambda df: sorted((r["db"], r["key"], r["value"]) for r in df.collect())
+    assert rows(kv.renamed(state, moves)) == [(0, "d", "dd"), (0, "t", "bb"), (0, "u", "cc"), (1, "t", "1a")]
+    assert rows(kv.renamed(state, moves, if_absent=True)) == [(0, "b", "bb"), (0, "d", "dd"), (0, "t", "aa"), (0, "u", "cc"), (1, "t", "1a")]
+    kept = [(0, k, k * 2) for k in "abcd"] + [(1, "a", "1a")]
+    assert rows(kv.copied(state, moves)) == sorted(kept + [(0, "t", "aa"), (0, "u", "cc"), (0, "v", "cc"), (1, "t", "1a")])
+    assert rows(kv.copied(state, moves, replace=True)) == sorted(kept + [(0, "t", "bb"), (0, "u", "cc"), (0, "v", "cc"), (1, "t", "1a")])
+    assert rows(kv.moved(state, state.select("db", "key"), 5)) == [(1, "a", "1a"), (5, "a", "aa"), (5, "b", "bb"), (5, "c", "cc"), (5, "d", "dd")]
+
+
+def test_multi_key_writes_all_or_nothing(spark):
+    rnd = random.Random(3)
+    state = spark.createDataFrame([(0, f"k{i}", "old", None) for i in range(10)], "db int, key string, value string, expires_at bigint")
+    batches = [(b, 0, f"k{rnd.randrange(200)}", f"v{b}") for b in range(150) for _ in range(rnd.randrange(1, 5))]
+    held = {f"k{i}": "old" for i in range(10)}
+    for b in range(150):
+        names = [k for n, _, k, _ in batches if n == b]
+        if not any(k in held for k in names):
+            held |= dict.fromkeys(names, f"v{b}")
+    rows = spark.createDataFrame(batches, "batch int, db int, key string, value string")
+    assert {r["key"]: r["value"] for r in kv.set_if_none(state, rows).collect()} == held
+    assert kv.set_if_none(state, rows.where("false")).count() == 10
+
+
+def test_evicted_in_one_moment(spark):
+    """A bulk load: all keys were last accessed at once, and the order of their names decides."""
+    state = spark.range(300).selectExpr("0 db", "concat('k', id) key", "repeat('x', cast(id % 7 as int)) value", "77L last_access")
+    left, want = 5000, set()
+    for r in sorted(state.collect(), key=lambda r: r["key"], reverse=True):
+        left -= len(r["value"]) + len(r["key"]) + kv.ENTRY_BYTES
+        if left < 0:
+            break
+        want.add(r["key"])
+    assert {r["key"] for r in kv.evicted(state, 5000).collect()} == want and want
+    assert kv.evicted(state.where("false"), 10).count() == 0
+
+
+def test_scan_pages_share_names(spark):
+    """One name in several databases at a page's end."""
+    state = spark.createDataFrame([(d, k, "v", None) for d in range(3) for k in "ab"], "db int, key string, value string, expires_at bigint")
+    seen, after = [], None
+    while page := kv.scan_page(state, after, 2, 0).collect():
+        seen += [(r["key"], r["db"]) for r in page]
+        after = seen[-1]
+    assert seen == sorted((k, d) for d in range(3) for k in "ab")
+
+
+def test_intermediates_are_released(spark):
+    from tarn.plans import durable
+
+    folder = durable.shared_dir(spark).removeprefix("file:")
+    durable.release(spark)
+    before = len(os.listdir(folder))
+    durable.durable(spark.range(3), "x")
+    assert len(os.listdir(folder)) == before + 1 and durable.release(spark) == 1 and len(os.listdir(folder)) == before
