@@ -78,7 +78,7 @@ def minimizers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
         place = np.where(right, place[by:], place[:-by])
         value = np.where(right, value[by:], value[:-by])
         have += by
-    return value.view(np.int64), place
+    return mix64(value).view(np.int64), place  # a least hash is small: mixed again, its bits are all alike
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -257,11 +257,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
     sketch = Sketch(windows.agg(F.sum(F.size("keys"))).first()[0] or 0)
     # written, so that a join with it can split the updates of a key that very many documents share
     twice = durable(sketch.repeated(sketch.merged(sketch.partial(windows))), "sketch")
-    sizes = dict(twice.groupBy("row").count().collect())  # a number per row of the sketch
     updates = windows.select("id", F.explode("keys").alias("key"))
     for row in range(ROWS):
         found = twice.where(F.col("row") == row).select("cell")
-        updates = updates.withColumn("cell", sketch.cell("key", row)).join(small(found, sizes.get(row, 0)), "cell", "left_semi").drop("cell")
+        updates = updates.withColumn("cell", sketch.cell("key", row)).join(found, "cell", "left_semi").drop("cell")
     marked = durable(updates.groupBy("id").agg(F.collect_set("key").alias("keys")), "marked")
     texts = body.join(small(marked.select("id")), "id", "left_semi")
     hot = durable(texts.join(marked, "id"), "suspects")
