@@ -342,11 +342,12 @@ def pubsub_publish(spark, sf_dir):
     return spark.read.parquet(out).select("message", "channel", "client")
 
 
-@query("SELECT CAST(event_id % 4 AS INTEGER) AS db, 'e:' || event_id AS key, epoch_us(ts) // 1000 + 1000 * (1 + event_id % 5) AS expired_at FROM events WHERE event_type = 'view' AND epoch_us(ts) // 1000 + 1000 * (1 + event_id % 5) < (SELECT max(epoch_us(ts) // 1000) FROM events)")
+@query(f"""WITH {D.log_sql({"view": "SET", "click": "PERSIST", "purchase": "EXPIRE", "error": "DEL"})}, e AS (SELECT db, key, ts_ms, CASE WHEN op IN ('SET', 'EXPIRE') THEN ts_ms + 3600000 * (1 + seq % 5) END AS until, lead(ts_ms) OVER (PARTITION BY db, key ORDER BY seq) AS after FROM log)
+SELECT db, key, until AS expired_at FROM e WHERE after > until OR after IS NULL AND until < (SELECT max(ts_ms) FROM log)""")
 def stream_expiry(spark, sf_dir):
-    """Every view as a key that lives some seconds, as a stream: keys whose time is over when the stream ends."""
-    log = D.log(spark, sf_dir, {"view": "SET", "error": "PERSIST", "click": "PERSIST", "purchase": "PERSIST", "signup": "PERSIST"})
-    rows = log.select("seq", "ts_ms", (F.col("seq") % 4).cast("int").alias("db"), F.concat(F.lit("e:"), "seq").alias("key"), "op", F.when(F.col("op") == "SET", 1000 * (1 + F.col("seq") % 5)).cast("long").alias("ttl_ms"))
+    """Keys that live some hours, written, kept and deleted, as a stream: every time that one expires before it is written again."""
+    rows = D.log(spark, sf_dir, {"view": "SET", "click": "PERSIST", "purchase": "EXPIRE", "error": "DEL"})
+    rows = rows.select("seq", "ts_ms", "db", "key", "op", F.when(F.col("op").isin("SET", "EXPIRE"), 3_600_000 * (1 + F.col("seq") % 5)).cast("long").alias("ttl_ms"))
     folder, out = scratch(spark, "mutations"), scratch(spark, "expired")
     rows.repartition(4).write.parquet(folder)
     stream = pubsub.message_stream(spark, folder, "seq bigint, ts_ms bigint, db int, key string, op string, ttl_ms bigint")
