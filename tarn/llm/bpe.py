@@ -29,7 +29,7 @@ ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 LONG_WORD = 128
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 SPACE = regex.compile(r"\s+")
 
 
