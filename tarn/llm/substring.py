@@ -37,7 +37,7 @@ ROWS, ODDS = 2, 0.02
 #: Bits that address a counter within a chunk: so that there are some thousand chunks, within these bounds.
 LEAST_BITS, MOST_BITS = 18, 26
 #: Updates that a task adds up before it sends them.
-HELD = 4_000_000
+HELD = 1_000_000
 #: Documents that are worked on at a time.
 SOME = 200
 _POWER = {}
