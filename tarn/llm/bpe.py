@@ -29,7 +29,7 @@ ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 LONG_WORD = 128
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 SPACE = regex.compile(r"\s+")
 
 
@@ -171,15 +171,18 @@ class WordBpe:
         for c, ws in zip(new, split):
             self.young[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
+    def normal(self, text: str) -> str:
+        if not text.isascii():
+            # each character is lowered on its own, so a sigma at a word's end gets no final form
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
     def split_words(self, chunk: str) -> list[str]:
-        """The words of a chunk without white space, normalised: composed, lowered character by character, split by the file's pattern."""
-        if chunk.isascii():
-            return self.words(chunk.lower())
-        if "Cn" in map(unicodedata.category, chunk):
+        """The words of a normalised chunk without white space."""
+        if not chunk.isascii() and "Cn" in map(unicodedata.category, chunk):
             # code points that this Python's tables don't know: the file's own normaliser and pattern say what they are
             return [w for w, _ in self.rule_split.pre_tokenize_str(self.rule_normal.normalize_str(chunk))]
-        # each character is lowered on its own, so a sigma at a word's end gets no final form
-        return self.words(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        return self.words(chunk)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
@@ -198,10 +201,10 @@ class WordBpe:
             if any(s in text for s in self.special_start):
                 chunks: list = []
                 for i, p in enumerate(self.specials.split(text)):
-                    chunks += [self.special[p].to_bytes(4, "little")] if i % 2 else self.split(p)
+                    chunks += [self.special[p].to_bytes(4, "little")] if i % 2 else self.split(self.normal(p))
                 parts.append(chunks)
             else:
-                parts.append(self.split(text))
+                parts.append(self.split(self.normal(text)))
         if len(self.young) > CACHE_ENTRIES:  # the older generation goes
             self.old, self.young = self.young, {}
         seen: set = set().union(*parts)
