@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import lean
+
 ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
@@ -242,6 +244,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", keep: tu
     Rows are independent, so repeated rows give repeated results and nothing is shuffled.
     """
 
+    @lean
     def run(batches):
         bpe = load(vocab_path)
         for batch in batches:
@@ -265,6 +268,7 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     behind, whatever their names.
     """
 
+    @lean
     def run(batches):
         bpe = load(vocab_path)
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_or_last, id_or_null, mix64, small
+from .common import durable, id_or_last, id_or_null, lean, mix64, small
 from .components import components
 
 #: Rotations of a table: with more of them buckets are smaller, and a pair meets in fewer tables.
@@ -132,6 +132,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hashed(vectors: DataFrame, scheme: CrossPolytope) -> DataFrame:
     """Per distinct vector rep, count, vec -> with buckets (flat, tables by 1 + NEXT * k)."""
 
+    @lean
     def run(batches):
         for batch in batches:
             x, dims = matrix(batch.column("vec"))
@@ -206,6 +207,7 @@ def linked(members: DataFrame, scheme: CrossPolytope, least_cosine: float) -> Da
         at = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(n[at].astype(np.int64)), pa.array(root[at])], ["rep", "n", "root"])
 
+    @lean
     def run(batches):
         held, key = [], None
         for batch in batches:
@@ -237,6 +239,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str =
     and count as vectors of their own. An empty table gives an empty one. Other columns are left behind.
     """
 
+    @lean
     def digest(batches):
         for batch in batches:
             units = [unit(v) for v in batch.column("vec").to_pylist()]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_or_last, id_or_null, mix32, mix64, small, texts_of
+from .common import durable, id_or_last, id_or_null, lean, mix32, mix64, small, texts_of
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -78,6 +78,7 @@ def text_hash(text: str):
 def shingled(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id (nulls last), hash (of the text), n (set size), digest (of the set; null if empty), bands (keys)."""
 
+    @lean
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, k) for t in texts_of(batch)]
@@ -94,6 +95,7 @@ def shingled(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with the exact size of the intersection and both set sizes: a, b, both, na, nb."""
 
+    @lean
     def run(batches):
         last, kept = None, None
         for batch in batches:
@@ -113,6 +115,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     """id, text -> rep, hashes (the sorted shingle set)."""
 
+    @lean
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, k).view(np.int64) for t in texts_of(batch)]
@@ -167,6 +170,7 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
         _, one = np.unique(np.stack([rep[left[x]], c[right[y]]]), axis=1, return_index=True)
         return pa.RecordBatch.from_arrays([pa.array(rep[left[x[one]]]), pa.array(rep[right[y[one]]])], ["a", "b"])
 
+    @lean
     def run(batches):
         held, key = [], None
         for batch in batches:

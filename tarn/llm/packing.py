@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load, texts_of_batch
-from .common import durable, id_or_last
+from .common import durable, id_or_last, lean
 
 CAPACITY = 2048
 #: Pieces of one length that a task numbers.
@@ -36,6 +36,7 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_id: i
     `end_id` alone. A null doc_id stays null. Repeated rows are packed as often as they come.
     """
 
+    @lean
     def run(batches):
         bpe, end = load(vocab_path), end_id.to_bytes(4, "little")
         for batch in batches:
@@ -172,6 +173,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[length] = n
     found = spark.sparkContext.broadcast(places(plan(counts)))  # a few runs per length: bounded by the capacity
 
+    @lean
     def place(batches):
         for batch in batches:
             lengths, numbers = (batch.column(c).to_numpy() for c in ("length", "number"))

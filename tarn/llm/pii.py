@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, lean
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "local_phone", "spelled_email", "person")
@@ -159,6 +159,7 @@ def detected(docs: DataFrame, kept: str, text: str) -> DataFrame:
     text is a column, or with a dot a field of a struct column (of `kept`, so that it is sent once)."""
     column, *field = text.split(".", 1)
 
+    @lean
     def run(batches):
         for batch in batches:
             base, kinds, starts, ends, said = [], [], [], [], []
@@ -263,6 +264,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = durable(detected(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text"), "candidates")
     w = train(found)  # a few dozen numbers
 
+    @lean
     def run(batches):
         for batch in batches:
             counts, digest, spans = [[] for _ in BASE], [], []

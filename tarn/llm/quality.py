@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, texts_of
+from .common import lean, mix64, texts_of
 from .labelled import held_out, sample, shares
 
 #: At most so many labelled documents of either class are learned from.
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.3) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_or_last, id_or_null, mix64, small
+from .common import durable, id_or_last, id_or_null, lean, mix64, small
 
 WINDOW, GRAM = 20, 5
 #: Rows of the sketch, and the greatest odds that a key without a repeat is estimated to be repeated.
@@ -88,6 +88,7 @@ def words_of(text: str | None) -> list[bytes]:
 def first_pass(docs: DataFrame, window: int) -> DataFrame:
     """Per row: id, n, digest of its words (null if it has no window), hash of its words as kept whole, sketch updates."""
 
+    @lean
     def run(batches):
         for batch in batches:
             n, digest, whole, keys = [], [], [], []
@@ -142,6 +143,7 @@ class Sketch:
                     some = [*zip(edges[at : at + 1000], edges[at + 1 : at + 1001])]
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int32()), pa.array([chunk[a] for a, _ in some], pa.int64()), pa.array([places[a:b].tobytes() for a, b in some], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in some], pa.binary())], ["row", "chunk", "places", "counts"])
 
+        @lean
         def run(batches):
             held, n = [], 0
             for batch in batches:
@@ -159,6 +161,7 @@ class Sketch:
     def merged(self, partial: DataFrame) -> DataFrame:
         """The partitions' sketches added up, chunk by chunk: row, chunk, counters (one byte each)."""
 
+        @lean
         def run(batches):
             at, total = None, None
             for batch in batches:
@@ -184,6 +187,7 @@ class Sketch:
     def repeated(self, merged: DataFrame) -> DataFrame:
         """row, cell of every counter of two or more."""
 
+        @lean
         def run(batches):
             for batch in batches:
                 for row, chunk, counters in zip(*(batch.column(c) for c in ("row", "chunk", "counters"))):
@@ -203,6 +207,7 @@ def suspects(words: list[bytes], hot: list[int], window: int) -> tuple[np.ndarra
 def candidate_windows(hot: DataFrame, window: int) -> DataFrame:
     """h1, h2, id, pos of every window estimated to be repeated."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for some in (batch.slice(i, SOME) for i in range(0, batch.num_rows, SOME)):
@@ -223,6 +228,7 @@ def candidate_windows(hot: DataFrame, window: int) -> DataFrame:
 def removal(hot: DataFrame, window: int) -> DataFrame:
     """hot with firsts (starts of first occurrences) -> id, digest, removed words, hash of the kept words, and the kept text."""
 
+    @lean
     def run(batches):
         for batch in batches:
             rows = []

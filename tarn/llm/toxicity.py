@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import lean, texts_of
 from .labelled import held_out, sample
 
 #: At most so many labelled documents of either class are learned from.
@@ -319,6 +319,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under two megabytes
 
+    @lean
     def run(batches):
         words: dict[str, int] = {}
         table = np.empty((CACHE_WORDS, 6 * HIDDEN), np.float32)
