@@ -6,8 +6,8 @@ vector lives in the bucket of its nearest vertices and also visits those next to
 resident are verified by their cosine in double precision. Large buckets are cut into chunks that meet pair by pair in
 separate tasks, so no bucket is gathered and none is cut short.
 
-A pair that meets in several buckets counts in the least of them only. Tasks return, per block, each vector's links and
-a spanning forest of the block, not the pairs: what is shuffled grows with the vectors. Equal vectors are one class with
+A pair that meets in several buckets counts in the least of them only. Tasks return, for some blocks at a time, each vector's links and
+a spanning forest of its blocks, not the pairs: what is shuffled grows with the vectors. Equal vectors are one class with
 a count.
 """
 
@@ -31,6 +31,9 @@ MOST_ROTATIONS = 4
 MISSED = 1e-4
 NEXT = 2
 CHUNK = 1024
+#: Rows of small blocks that are compared together, the members of a block that is compared by a product of its own, and the
+#: numbers that are held at a time when pairs are compared.
+GROUP, DENSE, PRODUCTS = 8192, 128, 1 << 20
 SEED = 20240229
 
 
@@ -54,8 +57,7 @@ class CrossPolytope:
                 y = padded
                 for _ in range(3):
                     y = hadamard(y * rng.choice((-1.0, 1.0), size))
-                y = np.concatenate([y, -y], axis=1)
-                near.append(np.argsort(-y, axis=1, kind="stable")[:, : 1 + NEXT].astype(np.uint64))
+                near.append(nearest_vertices(np.concatenate([y, -y], axis=1)))
             code = lambda places, t=t: self.number(t, d, places)
             own = [v[:, 0] for v in near]
             out[:, t, 0] = code(own)
@@ -71,6 +73,16 @@ class CrossPolytope:
         return mix64(x)
 
 
+def nearest_vertices(y: np.ndarray) -> np.ndarray:
+    """Places of the 1 + NEXT largest numbers of each row, the largest first, the least place first among equals. Overwrites y."""
+    out = np.empty((len(y), 1 + NEXT), np.uint64)
+    rows = np.arange(len(y))
+    for i in range(1 + NEXT):
+        out[:, i] = at = y.argmax(axis=1)
+        y[rows, at] = -np.inf
+    return out
+
+
 @functools.lru_cache(maxsize=64)
 def odds(d: int, k: int, cosine: float, tables: int = 8) -> float:
     """How likely a pair of this cosine in d dimensions meets in one table of k rotations: measured on random pairs."""
@@ -160,70 +172,94 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_links(bucket: int, left: np.ndarray, right: np.ndarray, rep: np.ndarray, x: np.ndarray, home: np.ndarray, scheme: CrossPolytope, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of the linked pairs of left and right that count in this bucket."""
-    same = left is right
-    close = x[left] @ x[right].T >= least_cosine
-    close &= home[left][:, None] | home[right][None, :]
-    close &= rep[left][:, None] != rep[right][None, :]
-    if same:
-        close = np.triu(close, 1)
-    a, b = np.nonzero(close)
-    if not len(a):
-        return a, b
-    a, b = left[a], right[b]
+def near_in_group(x: np.ndarray, dims: np.ndarray, edges: np.ndarray, home: np.ndarray, fits, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of rows of one block, one of them at home in it, that `fits` lets through and whose cosine is high enough.
+
+    Blocks are the rows between edges. Small ones are compared together, their pairs side by side; large ones by a product each.
+    """
+    sizes = np.diff(edges)
+    dense = sizes > DENSE
+    rows = np.flatnonzero(home & ~np.repeat(dense, sizes))
+    start, size = (np.repeat(v, sizes)[rows] for v in (edges[:-1], sizes))
+    ends = np.cumsum(size)
+    a = np.repeat(rows, size)
+    b = np.arange(len(a)) - np.repeat(ends - size, size) + np.repeat(start, size)
+    once = (a != b) & ~(home[b] & (a > b))
+    a, b = a[once], b[once]
+    at_once = max(1, PRODUCTS // max(1, x.shape[1]))
+    close = [np.einsum("ij,ij->i", x[a[i : i + at_once]], x[b[i : i + at_once]]) >= least_cosine for i in range(0, len(a), at_once)]
+    close = np.concatenate(close) if close else np.empty(0, bool)
+    found = [(a[close], b[close])]
+    for i in np.flatnonzero(dense).tolist():
+        low, high = edges[i], edges[i + 1]
+        own = low + np.flatnonzero(home[low:high])
+        p, q = np.nonzero(x[own] @ x[low:high].T >= least_cosine)
+        p, q = own[p], low + q
+        once = (p != q) & ~(home[q] & (p > q))
+        found.append((p[once], q[once]))
+    a, b = (np.concatenate(v) for v in zip(*found))
+    ok = fits(a, b) & (dims[a] == dims[b])
+    return a[ok], b[ok]
+
+
+def least_meeting(scheme: CrossPolytope, x: np.ndarray, dims: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows the least bucket that it meets in, one of the two being at home there."""
     involved, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    keys = scheme.buckets(x[involved])
+    keys = np.empty((len(involved), scheme.tables, 1 + NEXT * scheme.k), np.int64)
+    for d in np.unique(dims[involved]).tolist():
+        at = np.flatnonzero(dims[involved] == d)
+        keys[at] = scheme.buckets(x[involved[at], :d])
     ia, ib = inverse[: len(a)], inverse[len(a) :]
-    keep = np.empty(len(a), bool)
-    for at in range(0, len(a), 50_000):
-        p, q = keys[ia[at : at + 50_000]], keys[ib[at : at + 50_000]]
-        none = np.iinfo(np.int64).max
+    out, none = np.empty(len(a), np.int64), np.iinfo(np.int64).max
+    at_once = max(1, PRODUCTS // keys[:1].size) if len(keys) else 1
+    for i in range(0, len(a), at_once):
+        p, q = keys[ia[i : i + at_once]], keys[ib[i : i + at_once]]
         meet = np.minimum(np.where((q == p[:, :, :1]).any(2), p[:, :, 0], none), np.where((p == q[:, :, :1]).any(2), q[:, :, 0], none))
-        keep[at : at + 50_000] = meet.min(axis=1) == bucket
-    return a[keep], b[keep]
+        out[i : i + at_once] = meet.min(axis=1)
+    return out
 
 
 def linked(members: DataFrame, scheme: CrossPolytope, least_cosine: float) -> DataFrame:
-    """Rows sorted by block -> per block and linked vector: rep, n (vectors it is linked to), root (least rep it reaches there)."""
+    """Rows sorted by block -> per run of blocks and linked vector: rep, n (vectors it is linked to), root (least rep it reaches there)."""
 
-    def block(rows: list[pa.RecordBatch]):
+    def blocks(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
-        rep, count, home, chunk = (t.column(c).to_numpy() for c in ("rep", "count", "home", "chunk"))
+        rep, count, home, chunk, ci, cj, bucket = (t.column(c).to_numpy() for c in ("rep", "count", "home", "chunk", "ci", "cj", "bucket"))
         x, dims = matrix(t.column("vec"))
-        ci, cj, bucket = t.column("ci")[0].as_py(), t.column("cj")[0].as_py(), t.column("bucket")[0].as_py()
-        left = np.flatnonzero(chunk == ci)
-        right = left if ci == cj else np.flatnonzero(chunk == cj)
-        if not home.any() or not len(left) or not len(right) or (dims != dims[0]).any():  # a bucket's number names its dimension
-            return None
-        order = np.argsort(rep, kind="stable")  # places in order of rep, so that the least place is the least rep
-        rank = np.empty(len(rep), np.int64)
-        rank[order] = np.arange(len(rep))
-        a, b = block_links(bucket, left, right, rep, x, home, scheme, least_cosine)
+        new = (bucket[1:] != bucket[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rep)]])
+        # pairs within a chunk belong to the block of that chunk alone
+        fits = lambda a, b: (rep[a] != rep[b]) & ((ci[a] == cj[a]) | (chunk[a] != chunk[b]))
+        a, b = near_in_group(x, dims, edges, home, fits, least_cosine)
+        if len(a):
+            here = least_meeting(scheme, x, dims, a, b) == bucket[a]
+            a, b = a[here], b[here]
         if not len(a):
             return None
-        n = np.bincount(a, count[b], len(rep)) + np.bincount(b, count[a], len(rep))
-        root = rep[order][forest(len(rep), rank[a], rank[b])[rank]]
+        reps, place = np.unique(rep, return_inverse=True)  # places in order of rep, so that the least place is the least rep
+        a, b, ca, cb = place[a], place[b], count[a], count[b]
+        n = np.bincount(a, cb, len(reps)) + np.bincount(b, ca, len(reps))
+        root = reps[forest(len(reps), a, b)]
         at = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(n[at].astype(np.int64)), pa.array(root[at])], ["rep", "n", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(n[at].astype(np.int64)), pa.array(root[at])], ["rep", "n", "root"])
 
     @lean
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "ci", "cj")], axis=1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                this = tuple(keys[low].tolist())
-                if this != key and held:
-                    if sum(r.num_rows for r in held) > 1 and (out := block(held)):
+        held, n, last = [], 0, None
+        for whole in batches:
+            for first in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(first, GROUP)
+                keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "ci", "cj")], axis=1)
+                before = keys[:1] if last is None else last
+                starts = np.flatnonzero((keys != np.concatenate([before, keys[:-1]])).any(axis=1))
+                last = keys[-1:]
+                if len(starts) and n + (cut := int(starts[-1])) >= GROUP:  # whole blocks only
+                    if (out := blocks([*held, batch.slice(0, cut)])) is not None:
                         yield out
-                    held = []
-                key = this
-                held.append(batch.slice(low, high - low))
-        if sum(r.num_rows for r in held) > 1 and (out := block(held)):
+                    held, n, batch = [], 0, batch.slice(cut)
+                held.append(batch)
+                n += batch.num_rows
+        if held and (out := blocks(held)) is not None:
             yield out
 
     return members.mapInArrow(run, "rep bigint, n bigint, root bigint")

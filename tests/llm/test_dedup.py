@@ -291,6 +291,21 @@ def test_embeddings_one_large_group(spark):
     assert 0 <= missed <= 0.01 * sum(t[1] for t in truth)
 
 
+def test_blocks_compared_together():
+    """Small and large blocks side by side give the pairs that a look at each pair gives."""
+    rnd = np.random.default_rng(5)
+    sizes = [1, 2, 0, 7, 300, 129, 128, 3]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    n = int(edges[-1])
+    x = rnd.normal(size=(n, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home, dims, rep = rnd.random(n) < 0.4, rnd.choice([3, 4], n), rnd.integers(0, n, n)
+    a, b = embeddings.near_in_group(x, dims, edges, home, lambda a, b: rep[a] != rep[b], 0.9)
+    got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+    truth = {(i, j) for low, high in zip(edges, edges[1:]) for i in range(low, high) for j in range(i + 1, high) if (home[i] or home[j]) and dims[i] == dims[j] and rep[i] != rep[j] and x[i] @ x[j] >= 0.9}
+    assert len(got) == len(truth) and set(got) == truth
+
+
 @pytest.mark.parametrize("d", [16, 64, 160])
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_pairs_meet(d, k):
