@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, hinted
-from .graph import BOTH, OUT, Graph
+from ..plans.durable import BROADCAST_ROWS, dealt, durable, hinted
+from .graph import OUT, Graph
 
 
-def spread(arcs: DataFrame, frontier: DataFrame, seen: DataFrame, n: int, forward: bool) -> DataFrame:
-    """The next level (pair, id, path) of a breadth-first walk: the least path of every node not seen before."""
+def spread(arcs: DataFrame, frontier: DataFrame, n: int, rows: int, forward: bool, first: bool) -> DataFrame:
+    """The next level (pair, id, path) of a breadth-first walk: the least path of every node it steps on. rows: about how many
+    steps there are. The first level's paths follow from their ends, so numbers are aggregated, not arrays."""
     step = arcs.join(hinted(frontier.withColumnRenamed("id", "src"), n), "src")
+    if first:
+        step = dealt(step.select("pair", F.col("dst").alias("id"), "src"), ["pair", "id"], rows).groupBy("pair", "id").agg(F.min("src").alias("src"))
+        return step.select("pair", "id", F.array(*(("src", "id") if forward else ("id", "src"))).alias("path"))
     path = F.concat("path", F.array("dst")) if forward else F.concat(F.array("dst"), "path")
-    step = step.select("pair", F.col("dst").alias("id"), path.alias("path")).join(seen.select("pair", "id"), ["pair", "id"], "left_anti")
-    return step.groupBy("pair", "id").agg(F.min("path").alias("path"))
+    step = step.select("pair", F.col("dst").alias("id"), path.alias("path"))
+    return dealt(step, ["pair", "id"], rows).groupBy("pair", "id").agg(F.min("path").alias("path"))
 
 
 def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -22,28 +26,60 @@ def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
 
     Both ends are walked towards each other, the side with the smaller frontier first; pairs that met, or have one side
     used up, drop out. Of several shortest paths the one with the least ids in order is returned. a = b is a path of one node.
+
+    A new level, often by far the largest, is first only met with the other side's; what is written of it are the nodes of
+    pairs that are still apart once it has to be walked on, or both sides' new levels have met.
     """
-    arcs = durable(graph.arcs(BOTH).select("src", "dst").distinct(), "arcs")  # read every round
-    live = pairs.join(graph.nodes.select(F.col("id").alias("a")), "a", "left_semi").join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    sides = [durable(live.select("pair", F.col(c).alias("id"), F.array(c).alias("path")), "side") for c in ("a", "b")]
-    seen, hops, found = [*sides], 0, None
+    arcs = durable(graph.edges.select("src", "dst"), "arcs")  # read every round, both ways
+    edges = arcs.count()
+    arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    n = pairs.count()
+    alive = durable(graph.nodes.select("id").join(hinted(ends, 2 * n), "id", "left_semi").distinct(), "ends")
+    live = pairs.join(hinted(alive.toDF("a"), 2 * n), "a", "left_semi").join(hinted(alive.toDF("b"), 2 * n), "b", "left_semi")
+    written = [durable(live.select("pair", F.col(c).alias("id"), F.array(c).alias("path")), "side") for c in ("a", "b")]
+    seen, depth, ahead = [*written], [0, 0], [False, False]  # ahead: the side's level is one step on from what is written
+    sizes = [s.count() for s in written]
+    counts, passed = [*sizes], [*sizes]  # rows written of the level, of all levels
+    hops, found = 0, None
+
+    def level(i: int) -> DataFrame:
+        return spread(arcs, written[i], counts[i], sizes[i], i == 0, depth[i] == 0) if ahead[i] else written[i]
+
     while True:
-        met = sides[0].join(sides[1].withColumnRenamed("path", "rest"), ["pair", "id"])
+        # a node of an earlier level can't meet: its pair would have met earlier
+        met = level(0).join(level(1).withColumnRenamed("path", "rest"), ["pair", "id"])
         whole = met.groupBy("pair").agg(F.min(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))).alias("path"))
         whole = durable(whole.select("pair", F.lit(hops).alias("hops"), "path"), "met")
         found = whole if found is None else found.unionByName(whole)
         if hops == max_depth:
             return found
-        sides = [s.join(whole.select("pair"), "pair", "left_anti") for s in sides]
-        sizes = [s.count() for s in sides]
+        if n := whole.count():
+            written = [w.join(hinted(whole.select("pair"), n), "pair", "left_anti") for w in written]
+            counts = [w.count() for w in written]
+            sizes = [stepped(arcs, w, c, edges) if a else c for w, c, a in zip(written, counts, ahead)]
         if not all(sizes):
             return found
         i = int(sizes[1] < sizes[0])
-        sides[i] = durable(spread(arcs, sides[i], seen[i], sizes[i], forward=i == 0), "side")
-        seen[i] = seen[i].unionByName(sides[i])
+        for j in [j for j in (0, 1) if ahead[j] and (ahead[1 - j] or i == j)]:
+            fresh = level(j).join(hinted(seen[j].select("pair", "id"), passed[j]), ["pair", "id"], "left_anti")
+            written[j], ahead[j], depth[j] = durable(fresh, "side"), False, depth[j] + 1
+            counts[j] = sizes[j] = written[j].count()
+            seen[j], passed[j] = seen[j].unionByName(written[j]), passed[j] + counts[j]
+        if not all(sizes):
+            return found
+        i = int(sizes[1] < sizes[0]) if not any(ahead) else i
+        ahead[i], sizes[i] = True, stepped(arcs, written[i], counts[i], edges)
         hops += 1
 
 
+def stepped(arcs: DataFrame, frontier: DataFrame, n: int, edges: int) -> int:
+    """Steps from a frontier of n rows: counted while it can be broadcast, else an estimate."""
+    if n > BROADCAST_ROWS:
+        return max(2 * edges, n)
+    return arcs.join(hinted(frontier.select(F.col("id").alias("src")), n), "src").count()
+
+
 def lightest(graph: Graph, pairs: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
     """pairs (pair, a, b) -> pair, weight, path of a lightest directed path; a negative weight is an error.
 

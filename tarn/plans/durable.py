@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of one key that a single task may sort; keys with more are numbered range by range.
 HOT_ROWS = 5_000_000
+#: Rows of one task where keys are dealt by counted rows.
+TASK_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,17 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: a task's share stays the same however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df dealt by keys to as many tasks as its counted rows need. What is aggregated by these keys next is so within a task's
+    share; nothing is aggregated before the shuffle, where a task's memory would grow with the files that it is given."""
+    return df.repartition(tasks(df.sparkSession, rows), *keys)
+
+
 def carried(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, include_self: bool = True, width: int = 1 << 20) -> DataFrame:
     """df with `name`: per key the last non-null `value` in order of seq, of the row itself and those before (or only before).
 

@@ -228,3 +228,15 @@ def test_index_is_read_again(spark, tmp_path):
     vectors.save_index(vectors.approximate_index(rows, 3, tables=24), str(tmp_path))
     found = vectors.approximate_nearest_many(vectors.load_index(spark, str(tmp_path)), rows.where("node_id < 3").selectExpr("node_id query", "vec"), 1, together=3)
     assert {r["query"]: round(r["score"], 6) for r in found.collect()} == {0: 1.0, 1: 1.0, 2: 1.0}
+
+
+def test_shortest_writes_no_level_of_pairs_that_met(spark, monkeypatch):
+    """Two hops over 40 shared nodes, by parallel edges too: only one level of each pair's is needed, none is written."""
+    rows = {}
+    monkeypatch.setattr(paths, "durable", lambda df, name, write=paths.durable: rows.setdefault(name, []).append((out := write(df, name)).count()) or out)
+    mid = [f"m{i:02}" for i in range(40)]
+    nodes = ["a", "b", "c", *mid]
+    edges = [(x, m, "link", 1.0) for x in ("a", "b") for m in mid for _ in range(2)] + [("m07", "c", "link", 1.0)]
+    got = paths.shortest(made(spark, nodes, edges), spark.createDataFrame([(1, 0, 1), (2, 0, 2)], "pair int, a bigint, b bigint")).collect()
+    assert sorted((r["pair"], r["hops"], r["path"]) for r in got) == [(1, 2, [0, 3, 1]), (2, 2, [0, 10, 2])]
+    assert sum(rows["side"]) == 4  # the ends
