@@ -8,12 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import glob_regex
-from ..plans.durable import BROADCAST_ROWS
+from ..plans.durable import BROADCAST_ROWS, hinted
+
+#: Deliveries that one task makes of its messages.
+DELIVERED_ROWS = 20_000_000
+#: Clients in one list of a channel.
+LISTED = 10_000
 
 
 def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """messages (channel, message, ...) and subscriptions (client, channel) -> a row per message and subscriber."""
-    return messages.join(subscriptions.distinct(), "channel")
+    """messages (channel, message, ...) and subscriptions (client, channel) -> a row per message and subscriber.
+
+    A table of messages is dealt to tasks by the rows that it makes, which are far more than it has, whatever files and
+    channels it comes in: a channel that has most of the messages or subscribers is not one task's. A message meets lists of
+    its channel's clients, which cost less than to look up each client; a list stays within about LISTED.
+    """
+    subscriptions = subscriptions.select("client", "channel").distinct()
+    if messages.isStreaming:
+        return messages.join(subscriptions, "channel")
+    sizes = subscriptions.groupBy("channel").agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    made = messages.groupBy("channel").agg(F.count("*").alias("m")).join(sizes, "channel").agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    n = max(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(made or 0) // DELIVERED_ROWS))
+    part = F.pmod(F.xxhash64("client"), F.lit(-(-(most or 1) // LISTED)))
+    lists = subscriptions.groupBy("channel", part.alias("_part")).agg(F.collect_list(F.struct("client")).alias("_clients"))
+    lists = lists.select("channel", F.transform("_clients", lambda c: c["client"]).alias("_clients"))  # with a null client, if there is one
+    return messages.repartition(n).join(hinted(lists, total or 0), "channel").select("channel", *(c for c in messages.columns if c != "channel"), F.explode("_clients").alias("client"))
 
 
 def pattern_deliveries(messages: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:

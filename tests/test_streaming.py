@@ -50,3 +50,15 @@ def test_expiry(spark, tmp_path):
         run = expired(pubsub.message_stream(spark, str(source), schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         run.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(0, "a", 6000), (0, "c", 3500)]
+
+
+def test_deliveries_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
+    """A table in one file and one channel, read as one task: what it makes is dealt to as many as it needs."""
+    monkeypatch.setattr(pubsub, "DELIVERED_ROWS", 1_000, raising=False)
+    monkeypatch.setattr(pubsub, "LISTED", 7, raising=False)
+    spark.range(400).selectExpr("id message", "'c' channel").coalesce(1).write.parquet(str(tmp_path / "in"))
+    subscriptions = spark.range(50).selectExpr("nullif(id, 9) client", "'c' channel")
+    got = pubsub.deliveries(spark.read.parquet(str(tmp_path / "in")), subscriptions.union(subscriptions))
+    assert got.columns == ["channel", "message", "client"] and got.rdd.getNumPartitions() >= 20
+    rows = {(r["message"], r["client"]) for r in got.collect()}
+    assert len(rows) == got.count() == 20_000 and (0, None) in rows and (399, 49) in rows
