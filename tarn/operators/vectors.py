@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .graph import OUT, Graph, traverse
 
 #: Queries whose matrix is sent to every task at a time; more are searched block by block.
 QUERY_BLOCK = 2048
+#: Queries and vectors whose scores are held at a time.
+SCORE_BLOCK = (256, 4096)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, field: str | None = None) -> DataFrame:
@@ -32,11 +35,42 @@ def unit_rows(lists: list) -> np.ndarray:
     return np.divide(x, size, out=x.copy(), where=size > 0)
 
 
+def matrix_of(column) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix of rows of length 1."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return unit_rows(flat.reshape(len(column), -1))
+
+
+def kept_nearest(row: np.ndarray, node: np.ndarray, score: np.ndarray, k: int) -> tuple:
+    """The k entries of greatest score of each row, ties by node."""
+    order = np.lexsort((node, np.where(np.isnan(score), np.inf, -score), row))
+    row, node, score = row[order], node[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], node[kept], score[kept]
+
+
+def nearest_rows(asked: np.ndarray, unit: np.ndarray, node: np.ndarray, k: int, so_far: tuple | None = None) -> tuple:
+    """(row, node, score): for each row of asked the k nearest of unit, and of those found so far. Scores are held for
+    SCORE_BLOCK rows and vectors at a time, whatever the sizes."""
+    found = [so_far] if so_far else []
+    for at in range(0, len(asked), SCORE_BLOCK[0]):
+        for first in range(0, len(unit), SCORE_BLOCK[1]):
+            scores = asked[at : at + SCORE_BLOCK[0]] @ unit[first : first + SCORE_BLOCK[1]].T
+            least = np.where(np.isnan(scores), -np.inf, scores)
+            n = scores.shape[1]
+            if n > k:
+                row, column = np.nonzero(least >= np.partition(least, n - k, axis=1)[:, n - k, None])
+            else:
+                row, column = (x.ravel() for x in np.indices(scores.shape))
+            found.append(kept_nearest(row + at, node[first + column], scores[row, column], k))
+    return kept_nearest(*(np.concatenate(x) for x in zip(*found)), k)
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries (query, vec) -> (query, node_id, score, rank) of the k nearest of each, ties by id; all of one dimension.
 
-    A block of at most QUERY_BLOCK queries is a matrix that every task multiplies with its vectors; of each batch only k rows
-    a query go on, so what is shuffled grows with queries and batches, not with their product with vectors.
+    A block of at most QUERY_BLOCK queries is a matrix that every task multiplies with its vectors, a small block of scores at
+    a time; of each task only k rows a query go on, so what is held and shuffled grows with queries, not with vectors.
     """
     wanted = queries.select("query", "vec").orderBy("query")
     blocks, out = -(-wanted.count() // QUERY_BLOCK), None
@@ -45,16 +79,13 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         ids, matrix = np.array([r["query"] for r in rows]), unit_rows([r["vec"] for r in rows])
 
         def run(batches, ids=ids, matrix=matrix):
+            best = None
             for batch in batches:
-                lists = batch.column("vec").to_pylist()
-                fit = [i for i, v in enumerate(lists) if v is not None and len(v) == matrix.shape[1]]
-                if not fit:
-                    continue
-                node = batch.column("node_id").to_numpy()[fit]
-                scores = matrix @ unit_rows([lists[i] for i in fit]).T
-                order = np.lexsort((np.broadcast_to(node, scores.shape), -scores), axis=1)[:, :k]
-                each = np.arange(len(ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(node[order].ravel()), pa.array(scores[each, order].ravel())], ["query", "node_id", "score"])
+                batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("vec")), matrix.shape[1]), False))
+                if batch.num_rows:
+                    best = nearest_rows(matrix, matrix_of(batch.column("vec")), batch.column("node_id").to_numpy(), k, best)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "node_id", "score"])
 
         some = vectors.select("node_id", "vec").mapInArrow(run, "query bigint, node_id bigint, score double")
         out = some if out is None else out.unionByName(some)

@@ -240,3 +240,20 @@ def test_shortest_writes_no_level_of_pairs_that_met(spark, monkeypatch):
     got = paths.shortest(made(spark, nodes, edges), spark.createDataFrame([(1, 0, 1), (2, 0, 2)], "pair int, a bigint, b bigint")).collect()
     assert sorted((r["pair"], r["hops"], r["path"]) for r in got) == [(1, 2, [0, 3, 1]), (2, 2, [0, 10, 2])]
     assert sum(rows["side"]) == 4  # the ends
+
+
+def test_scores_are_held_in_blocks():
+    """Few rows of scores at a time, however many queries and vectors there are; ties go to the least id."""
+    import tracemalloc
+
+    import numpy as np
+
+    unit = vectors.unit_rows(np.random.default_rng(1).normal(size=(20_000, 8)))
+    unit[7000:7020] = unit[3]
+    tracemalloc.start()
+    row, node, score = vectors.nearest_rows(unit[:600], unit, np.arange(20_000)[::-1], 5)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # all scores at once are 96 MB, and sorting them takes as much again
+    tracemalloc.stop()
+    exact = unit[:600] @ unit.T
+    assert np.allclose(np.sort(score.reshape(600, 5), axis=1), np.sort(exact, axis=1)[:, -5:])
+    assert len(set(node[row == 3])) == 5 and set(node[row == 3]) <= {12_980 + i for i in range(20)} | {19_996}
