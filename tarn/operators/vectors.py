@@ -12,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot, normalized, similarity
+from ..functions.columns import normalized, similarity
 from .graph import OUT, Graph, traverse
 
 #: Queries whose matrix is sent to every task at a time; more are searched block by block.
 QUERY_BLOCK = 2048
 #: Queries and vectors whose scores are held at a time.
 SCORE_BLOCK = (256, 4096)
+#: Vectors of an index for each slice of its buckets: a bucket that held them all would still be one task's.
+SLICE_ROWS = 200_000
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, field: str | None = None) -> DataFrame:
@@ -121,18 +123,27 @@ def load_index(spark: SparkSession, folder: str):
 def approximate_nearest_many(index, queries: DataFrame, k: int, together: int = 4) -> DataFrame:
     """queries (query, vec) -> (query, node_id, score, rank) of about the k nearest of each, in one plan.
 
-    Queries are hashed like the vectors; `together` hashes make a bucket, and both meet in the buckets. Pairs that meet in
-    several count once, and the score is exact. A vector is met by the queries of its buckets alone, never by other vectors.
+    Queries are hashed like the vectors; `together` hashes make a bucket, and both meet in the buckets, the vectors of a
+    large index dealt to several slices of each. A slice's queries and vectors are multiplied as matrices and k rows a query
+    go on, so no pair of them is shuffled or joined. A pair that meets in several buckets counts once; the score is exact.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     model, table = index
     asked = model.transform(queries.select("query", array_to_vector(normalized(F.col("vec"))).alias("features")))
-    buckets = [F.xxhash64(F.lit(i), *(vector_to_array(F.col("hashes")[i + j])[0] for j in range(together))) for i in range(0, model.getNumHashTables() - together + 1, together)]
-    met = asked.select("query", F.explode(F.array(*buckets)).alias("bucket")).join(table.select("node_id", F.explode(F.array(*buckets)).alias("bucket")), "bucket")
-    pairs = met.select("query", "node_id").distinct()
-    unit = lambda df, id_, name: df.select(id_, vector_to_array("features").alias(name))
-    scored = pairs.join(unit(table, "node_id", "vec"), "node_id").join(unit(asked, "query", "q"), "query").select("query", "node_id", dot(F.col("q"), F.col("vec")).alias("score"))
+    buckets = F.array(*(F.xxhash64(F.lit(i), *(vector_to_array(F.col("hashes")[i + j])[0] for j in range(together))) for i in range(0, model.getNumHashTables() - together + 1, together)))
+    slices = -(-table.count() // SLICE_ROWS) or 1
+    vectors = table.select("node_id", vector_to_array("features").alias("vec"), F.pmod(F.xxhash64("node_id"), F.lit(slices)).alias("slice"), F.explode(buckets).alias("bucket"))
+    asked = asked.select("query", vector_to_array("features").alias("vec"), F.explode(buckets).alias("bucket")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("slice", F.col("slice").cast("long"))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], "int64"), "node_id": pa.array([], "int64"), "score": pa.array([], "float64")})
+        row, node, score = nearest_rows(*(matrix_of(t.column("vec").combine_chunks()) for t in (left, right)), right.column("node_id").to_numpy(), k)
+        return pa.table({"query": left.column("query").to_numpy()[row], "node_id": node, "score": score})
+
+    pairs = asked.groupBy("bucket", "slice").cogroup(vectors.groupBy("bucket", "slice")).applyInArrow(met, "query bigint, node_id bigint, score double")
+    scored = pairs.groupBy("query", "node_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

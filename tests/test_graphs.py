@@ -257,3 +257,11 @@ def test_scores_are_held_in_blocks():
     exact = unit[:600] @ unit.T
     assert np.allclose(np.sort(score.reshape(600, 5), axis=1), np.sort(exact, axis=1)[:, -5:])
     assert len(set(node[row == 3])) == 5 and set(node[row == 3]) <= {12_980 + i for i in range(20)} | {19_996}
+
+
+def test_approximate_search_shuffles_no_pairs(spark):
+    """All rows in one bucket: what meets there is k rows a query, not every pair."""
+    rows = embedded(spark, *((1.0, i / 1000, 0.0) for i in range(300)))
+    found = vectors.approximate_nearest_many(vectors.approximate_index(rows, 3, tables=4, bucket=50.0), rows.selectExpr("node_id query", "vec"), 2)
+    assert {r["query"] for r in found.where("query = node_id").collect()} == set(range(300)) and found.count() == 600
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
