@@ -66,6 +66,12 @@ def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.repartition(tasks(df.sparkSession, rows), *keys)
 
 
+def bucketed(df: DataFrame, table: str, n: int, key: str) -> DataFrame:
+    """df as a table of n buckets of a key, a file each: later joins on the key leave it where it is. The caller drops the table."""
+    df.repartition(n, key).write.option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def carried(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, include_self: bool = True, width: int = 1 << 20) -> DataFrame:
     """df with `name`: per key the last non-null `value` in order of seq, of the row itself and those before (or only before).
 

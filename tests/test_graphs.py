@@ -265,3 +265,18 @@ def test_approximate_search_shuffles_no_pairs(spark):
     found = vectors.approximate_nearest_many(vectors.approximate_index(rows, 3, tables=4, bucket=50.0), rows.selectExpr("node_id query", "vec"), 2)
     assert {r["query"] for r in found.where("query = node_id").collect()} == set(range(300)) and found.count() == 600
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pagerank_meets_roots_once(spark, monkeypatch):
+    """Ranks like a plain loop's, over roots, sinks, a lone node, parallel edges and a loop; roots' ranks are not written each round."""
+    written = []
+    monkeypatch.setattr(extensions, "durable", lambda df, name, write=extensions.durable: written.append((name, (out := write(df, name)).count())) or out)
+    arcs = ["ab", "ab", "ac", "bc", "cb", "cd", "ee", "fe", "gf"]
+    nodes = "abcdefghij"
+    got = {r["id"]: r["rank"] for r in extensions.pagerank(made(spark, nodes, arcs), 3).collect()}
+    rank = {x: 0.1 for x in nodes}
+    for _ in range(3):
+        lost = sum(r for x, r in rank.items() if not any(a[0] == x for a in arcs))
+        rank = {x: 0.015 + 0.85 * (lost / 10 + sum(rank[a[0]] / sum(b[0] == a[0] for b in arcs) for a in arcs if a[1] == x)) for x in nodes}
+    assert len(got) == 10 and all(abs(got[i] - rank[x]) < 1e-12 for i, x in enumerate(nodes))
+    assert [n for name, n in written if name == "ranks"] == [5, 5, 5]
