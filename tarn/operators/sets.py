@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import dealt
+
 KEY, MEMBER = ["db", "key"], ["db", "key", "member"]
 
 
-def added(members: DataFrame, new: DataFrame) -> DataFrame:
-    return members.select(*MEMBER).unionByName(new.select(*MEMBER)).distinct()
+def added(members: DataFrame, new: DataFrame, rows: int | None = None) -> DataFrame:
+    """members and new, each once. rows: about how many they are together, counted if it isn't given."""
+    both = members.select(*MEMBER).unionByName(new.select(*MEMBER))
+    return dealt(both, MEMBER, both.count() if rows is None else rows).distinct()
 
 
 def without(members: DataFrame, gone: DataFrame) -> DataFrame:

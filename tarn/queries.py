@@ -511,7 +511,8 @@ def hash_incrby_errors(spark, sf_dir):
 
 @query(f"WITH {D.SET_SQL} SELECT db, key, member FROM members UNION SELECT 0, 'o:' || o_orderkey, o_custkey FROM orders")
 def set_add(spark, sf_dir):
-    return sets.added(D.set_members(spark, sf_dir), customers_of_orders(spark, sf_dir))
+    rows = sum(D.table(spark, sf_dir, t).count() for t in ("lineitem", "orders"))
+    return sets.added(D.set_members(spark, sf_dir), customers_of_orders(spark, sf_dir), rows)
 
 
 @query(f"WITH {D.SET_SQL} SELECT db, key, member FROM members EXCEPT SELECT 0, 'o:' || o_orderkey, o_custkey FROM orders")
