@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalized
+from ..plans.durable import dealt
 from .graph import Graph
 
 EDGE = ["src", "dst", "edge_type"]
@@ -93,7 +94,8 @@ def set_edge_properties(graph: Graph, rows: DataFrame) -> Graph:
 
 
 def delete_edges(graph: Graph, ids: DataFrame) -> Graph:
-    return Graph(graph.nodes, graph.edges.join(ids.select("id").distinct(), "id", "left_anti"))
+    edges = dealt(graph.edges, ["id"], graph.edges.count())
+    return Graph(graph.nodes, edges.join(ids.select("id"), "id", "left_anti"))
 
 
 def set_properties(graph: Graph, rows: DataFrame) -> Graph:

@@ -23,3 +23,10 @@ def test_set_members(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(durable, "TASK_ROWS", 1_000)
     members = D.set_members(spark, sf_dir)
     assert members.rdd.getNumPartitions() >= 5 and dealt_to(sets.cardinalities(members)) == 1
+
+
+def test_edges_deleted(spark, monkeypatch):
+    monkeypatch.setattr(durable, "TASK_ROWS", 1)
+    g = made(spark, "abc", ["ab", "bc", "ca", "ab", "cb", "ba"])
+    kept = graph_writes.delete_edges(g, g.edges.where("src = 0").select("id"))
+    assert dealt_to(kept.edges) == 1 and kept.edges.count() == 4
