@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, hinted
+from ..plans.durable import dealt, durable, hinted
 
 OUT, IN, BOTH = "OUT", "IN", "BOTH"
 
@@ -59,7 +59,9 @@ def list_by_type(graph: Graph, node_type: str, limit: int | None = None) -> Data
 def stats(graph: Graph) -> DataFrame:
     """Live nodes, and live edges (whose ends are both live)."""
     ids = graph.nodes.select("id")
-    whole = graph.edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+    edges = graph.edges.select("src", "dst")
+    n = edges.count()
+    whole = dealt(dealt(edges, ["src"], n).join(ids.toDF("src"), "src", "left_semi"), ["dst"], n).join(ids.toDF("dst"), "dst", "left_semi")
     return ids.agg(F.count("*").alias("nodes")).crossJoin(whole.agg(F.count("*").alias("edges")))  # one row each
 
 

@@ -30,3 +30,10 @@ def test_edges_deleted(spark, monkeypatch):
     g = made(spark, "abc", ["ab", "bc", "ca", "ab", "cb", "ba"])
     kept = graph_writes.delete_edges(g, g.edges.where("src = 0").select("id"))
     assert dealt_to(kept.edges) == 1 and kept.edges.count() == 4
+
+
+def test_stats(spark, monkeypatch):
+    monkeypatch.setattr(durable, "TASK_ROWS", 1)
+    g = made(spark, "abc", ["ab", "bc", "ca", "ab", "cb", "ba"])
+    found = graph.stats(graph.Graph(g.nodes.where("id < 2"), g.edges))
+    assert dealt_to(found) == 2 and found.first()[:] == (2, 3)
