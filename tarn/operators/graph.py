@@ -97,6 +97,7 @@ def traverse(graph: Graph, seeds: DataFrame, depth: int = 10, direction: str = O
         arcs = arcs.join(graph.nodes.where(F.col("node_type") == node_type).select(F.col("id").alias("dst")), "dst", "left_semi")
     if depth > 1:
         arcs = durable(arcs, "arcs")  # read at every level
+    edges = arcs.count() if depth else 0
     frontier = durable(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)), "level")
     visited, level = frontier, 0
     while level < depth:
@@ -104,7 +105,8 @@ def traverse(graph: Graph, seeds: DataFrame, depth: int = 10, direction: str = O
         if not n:
             break
         level += 1
-        step = arcs.join(hinted(frontier.select("seed", F.col("id").alias("src")), n), "src").select("seed", F.col("dst").alias("id")).distinct()
+        step = arcs.join(hinted(frontier.select("seed", F.col("id").alias("src")), n), "src").select("seed", F.col("dst").alias("id"))
+        step = dealt(step, ["seed", "id"], max(n, min(edges, n * n))).distinct()  # about as many steps as edges
         frontier = durable(step.join(visited.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)), "level")
         visited = visited.unionByName(frontier)
         if limit is not None:

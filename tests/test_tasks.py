@@ -37,3 +37,11 @@ def test_stats(spark, monkeypatch):
     g = made(spark, "abc", ["ab", "bc", "ca", "ab", "cb", "ba"])
     found = graph.stats(graph.Graph(g.nodes.where("id < 2"), g.edges))
     assert dealt_to(found) == 2 and found.first()[:] == (2, 3)
+
+
+def test_levels(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "durable", lambda df, name, write=graph.durable: plans.append((name, dealt_to(df))) or write(df, name))
+    g = made(spark, "abcd", ["ab", "bc", "cd", "ab"])
+    assert graph.traverse(g, g.seeds("a"), 3).count() == 4
+    assert [n for name, n in plans if name == "level"][1:] == [1, 1, 1]
