@@ -21,6 +21,13 @@ def spread(arcs: DataFrame, frontier: DataFrame, n: int, rows: int, forward: boo
     return dealt(step, ["pair", "id"], rows).groupBy("pair", "id").agg(F.min("path").alias("path"))
 
 
+def living(graph: Graph, pairs: DataFrame, n: int) -> DataFrame:
+    """Of n pairs (pair, a, b) those whose ends are both nodes."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alive = durable(graph.nodes.select("id").join(hinted(ends, 2 * n), "id", "left_semi").distinct(), "ends")
+    return pairs.join(hinted(alive.toDF("a"), 2 * n), "a", "left_semi").join(hinted(alive.toDF("b"), 2 * n), "b", "left_semi")
+
+
 def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
     """pairs (pair, a, b) -> pair, hops, path (ids) of a shortest path of at most max_depth hops, directions ignored.
 
@@ -33,10 +40,7 @@ def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
     arcs = durable(graph.edges.select("src", "dst"), "arcs")  # read every round, both ways
     edges = arcs.count()
     arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = pairs.count()
-    alive = durable(graph.nodes.select("id").join(hinted(ends, 2 * n), "id", "left_semi").distinct(), "ends")
-    live = pairs.join(hinted(alive.toDF("a"), 2 * n), "a", "left_semi").join(hinted(alive.toDF("b"), 2 * n), "b", "left_semi")
+    live = living(graph, pairs, pairs.count())
     written = [durable(live.select("pair", F.col(c).alias("id"), F.array(c).alias("path")), "side") for c in ("a", "b")]
     seen, depth, ahead = [*written], [0, 0], [False, False]  # ahead: the side's level is one step on from what is written
     sizes = [s.count() for s in written]
@@ -83,27 +87,80 @@ def stepped(arcs: DataFrame, frontier: DataFrame, n: int, edges: int) -> int:
 def lightest(graph: Graph, pairs: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
     """pairs (pair, a, b) -> pair, weight, path of a lightest directed path; a negative weight is an error.
 
-    Rounds of relaxation: only rows that got lighter are walked on and written, and none that is not lighter than the pair's
-    best path so far. Of equally light paths the one with fewer nodes, then the least ids, is returned.
+    Pairs share what is walked: a walk has its root in each different a or, if these are fewer, in each different b, from
+    where edges are walked backwards and only among those that some a leads to. Rounds of relaxation: only rows that got
+    lighter are walked on and written, none that is heavier than the best paths of all its root's pairs, and none at a node
+    that leads nowhere and ends no pair of the root. Of equally light paths the one with fewer nodes, then the least ids, is
+    returned. Weights are compared as summed up from the root; the one returned is summed up from a.
     """
-    arcs = durable(graph.arcs(OUT, edge_types).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "arcs")  # read every round
+    arcs = durable(graph.arcs(OUT, edge_types).select("src", "dst", "weight"), "arcs")  # read every round
     if not arcs.where("weight < 0").isEmpty():
         raise ValueError("lightest paths need weights of 0 or more")
-    live = pairs.join(graph.nodes.select(F.col("id").alias("a")), "a", "left_semi").join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    cost = F.struct(F.col("weight").alias("weight"), F.size("path").alias("n"), F.col("path").alias("path"))
-    frontier = durable(live.select("pair", "b", F.col("a").alias("id"), F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("n"), F.array("a").alias("path")).alias("cost")), "lighter")
-    best = frontier  # what every round wrote: a node's cost is the least of its rows
-    while n := frontier.count():
-        bound = best.where("id = b").groupBy("pair").agg(F.min("cost.weight").alias("bound"))
-        step = arcs.join(hinted(frontier.select("pair", "b", F.col("id").alias("src"), F.col("cost.weight").alias("w"), F.col("cost.path").alias("p")), n), "src")
-        step = step.select("pair", "b", F.col("dst").alias("id"), (F.col("w") + F.col("weight")).alias("weight"), F.concat("p", F.array("dst")).alias("path"))
-        step = step.join(bound, "pair", "left").where(F.coalesce(F.col("weight") <= F.col("bound"), F.lit(True)))
-        step = step.groupBy("pair", "b", "id").agg(F.min(cost).alias("new"))
-        old = best.groupBy("pair", "id").agg(F.min("cost").alias("old"))
-        step = step.join(old, ["pair", "id"], "left").where("old is null or new < old")
-        frontier = durable(step.select("pair", "b", "id", F.col("new").alias("cost")), "lighter")
-        best = best.unionByName(frontier)
-    return best.where("id = b").groupBy("pair").agg(F.min("cost").alias("cost")).select("pair", "cost.weight", "cost.path")
+    live = durable(living(graph, pairs, pairs.count()), "pairs")
+    of = {c: live.select(F.col(c).alias("id")).distinct() for c in ("a", "b")}
+    many = {c: ids.count() for c, ids in of.items()}
+    forward = many["a"] <= many["b"]
+    root, end = ("a", "b") if forward else ("b", "a")
+    ahead = None  # the nodes to walk on from; forwards, the others are not known beforehand
+    if not forward:
+        arcs, ahead = reached(arcs, of["a"], many["a"])
+        arcs = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    edges, n_ahead = arcs.count(), ahead.count() if ahead else 0
+    asked = durable(live.select(F.col(root).alias("root"), F.col(end).alias("id")).distinct(), "asked")
+    roots = durable(asked.groupBy("root").agg(F.count("*").alias("asked_ids"), F.max(F.col("id") == F.col("root")).alias("asked")), "roots")
+    n_asked, n_roots = asked.count(), many[root]
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """Rows that are walked on or end a pair."""
+        if ahead is None:
+            return rows.withColumn("on", F.lit(True))
+        return rows.join(hinted(ahead.withColumn("on", F.lit(True)), n_ahead), "id", "left").where("on or asked")
+
+    cost = F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("n"), F.array("root").alias("path"), F.array().cast("array<double>").alias("steps"))
+    lighter = durable(marked(roots.select("root", F.col("root").alias("id"), cost.alias("cost"), "asked")), "lighter")
+    best, written, hops = lighter, 0, 0  # what every round wrote: a node's cost is the least of its rows
+    while True:
+        more, n = lighter.agg(F.count("*"), F.count_if("on")).first()
+        if not n:
+            break
+        written, hops = written + more, hops + 1
+        found = best.where("asked").groupBy("root", "id").agg(F.min("cost.weight").alias("weight"))
+        found = found.groupBy("root").agg(F.count("*").alias("asked_ids"), F.max("weight").alias("bound"))
+        bound = roots.join(found, ["root", "asked_ids"]).select("root", "bound")  # of roots whose pairs all have a path
+        walk = lighter.where("on").join(hinted(bound, n_roots), "root", "left").where("bound is null or cost.weight <= bound")
+        wide = n * (1 + hops // 4)  # paths grow
+        step = arcs.join(hinted(walk.select("root", F.col("id").alias("src"), "cost", "bound"), wide), "src")
+        # all paths to a node get the same id added, so they are compared without
+        way = F.struct((F.col("cost.weight") + F.col("weight")).alias("weight"), F.col("cost.n").alias("n"), F.col("cost.path").alias("path"), F.col("cost.steps").alias("steps"), F.col("weight").alias("last"))
+        step = step.select("root", F.col("dst").alias("id"), way.alias("way"), "bound").where("bound is null or way.weight <= bound").drop("bound")
+        rows = step.unionByName(best.select("root", "id", F.col("cost").alias("old")), True).unionByName(asked.withColumn("asked", F.lit(True)), True)
+        steps = stepped(arcs, walk, wide, edges)
+        rows = dealt(rows, ["root", "id"], steps + written + n_asked).groupBy("root", "id").agg(F.min("way").alias("way"), F.min("old").alias("old"), F.coalesce(F.max("asked"), F.lit(False)).alias("asked"))
+        path = F.concat("way.path", F.array("id")) if forward else F.concat(F.array("id"), "way.path")
+        steps = F.col("way.steps") if forward else F.concat(F.array("way.last"), "way.steps")
+        cost = F.struct(F.col("way.weight").alias("weight"), (F.col("way.n") + 1).alias("n"), path.alias("path"), steps.alias("steps"))
+        rows = rows.where("way is not null").select("root", "id", cost.alias("cost"), "old", "asked").where("old is null or cost < old")
+        lighter = durable(marked(rows.drop("old")), "lighter")
+        best = best.unionByName(lighter)
+    ends = best.where("asked").groupBy(F.col("root").alias(root), F.col("id").alias(end)).agg(F.min("cost").alias("cost"))
+    weight = F.col("cost.weight") if forward else F.aggregate("cost.steps", F.lit(0.0), lambda total, x: total + x)
+    cost = F.struct(weight.alias("weight"), F.col("cost.n").alias("n"), F.col("cost.path").alias("path"))
+    return live.join(ends, ["a", "b"]).groupBy("pair").agg(F.min(cost).alias("cost")).select("pair", "cost.weight", "cost.path")
+
+
+def reached(arcs: DataFrame, starts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The arcs that n starting nodes (id) lead to, each written once with its source's level; and the nodes at their heads."""
+    level = durable(starts, "level")
+    seen, passed, found, heads = level, n, None, None
+    while n:
+        out = durable(arcs.join(hinted(level.toDF("src"), n), "src", "left_semi"), "out")
+        fresh = dealt(out.select(F.col("dst").alias("id")), ["id"], out.count()).distinct()
+        fresh = durable(fresh.join(hinted(seen.withColumn("seen", F.lit(True)), passed), "id", "left"), "heads")
+        found, heads = (out, fresh) if found is None else (found.unionByName(out), heads.unionByName(fresh))
+        level = fresh.where("seen is null").select("id")
+        n = level.count()
+        seen, passed = seen.unionByName(level), passed + n
+    return found, durable(heads.select("id").distinct(), "heads")
 
 
 def to_type(graph: Graph, seeds: DataFrame, node_type: str, depth: int = 10, edge_types: list[str] | None = None, limit: int = 100) -> DataFrame:

@@ -197,6 +197,48 @@ def test_log_compaction(spark, tmp_path):
     assert list(itertools.chain(short.columns)) == log.columns
 
 
+@pytest.mark.parametrize("few", ["a", "b"])
+def test_lightest_of_pairs_that_share_ends(spark, few):
+    """Weight and path, ties included, as all paths give them; whichever end is shared."""
+    arcs = [(i, (i * j + j + 1) % 15, float((i + j) % 3) / 2) for i in range(13) for j in range(4)] + [(2, 3, 0.5), (2, 3, 4.0), (3, 2, 0.0)]
+    g = Graph(spark.createDataFrame([(i, f"n{i}", "t", {}) for i in range(15)], NODES), spark.createDataFrame([(i, a, b, "link", w, None) for i, (a, b, w) in enumerate(arcs)], EDGES))
+    pairs = [(100 * x + y, *((y, x) if few == "b" else (x, y))) for x in (3, 9, 99) for y in range(16)] + [(7, 1, 2), (7, 2, 1)]
+    want = {}
+    for q, a, b in pairs:
+        best, level = {a: (0.0, 1, [a])}, [a]
+        while level:
+            found = set()
+            for s, t, w in arcs:
+                if s in level and (way := (best[s][0] + w, best[s][1] + 1, [*best[s][2], t])) < best.get(t, (1e9,)):
+                    best[t] = way
+                    found.add(t)
+            level = found
+        if b in best and max(a, b) < 15:
+            want[q] = min(best[b], want.get(q, best[b]))
+    got = paths.lightest(g, spark.createDataFrame(pairs, "pair int, a bigint, b bigint")).collect()
+    assert {r["pair"]: (r["weight"], len(r["path"]), r["path"]) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_lightest_walks_once_for_a_shared_end(spark, monkeypatch):
+    rows = []
+
+    def counted(df, name, write=paths.durable):
+        out = write(df, name)
+        rows.append(out.count() if name == "lighter" else 0)
+        return out
+
+    monkeypatch.setattr(paths, "durable", counted)
+    names = "abcdefghijklmnopqrstuvwxyz"
+    tail = [("w", "x", "link", 0.1), ("x", "y", "link", 0.2), ("y", "z", "link", 0.3)]
+    g = made(spark, names, [(c, "w", "link", 0.0) for c in names[1:22]] + tail + [(c, "a", "link", 1.0) for c in names[1:22]])
+    got = paths.lightest(g, spark.createDataFrame([(i, i, 25) for i in range(22)], "pair int, a bigint, b bigint")).collect()
+    assert [(r["weight"], r["path"]) for r in sorted(got)] == [(0.1 + 0.2 + 0.3, [i, 22, 23, 24, 25]) for i in range(1, 22)]
+    assert sum(rows) == 25  # a row per node on the way, not one per pair and node
+    rows.clear()
+    got = paths.lightest(g, spark.createDataFrame([(i, 22, i) for i in range(22, 26)], "pair int, a bigint, b bigint")).collect()
+    assert len(got) == 4 and sum(rows) == 4
+
+
 def test_negative_weights_raise(spark):
     g = made(spark, "ab", [("a", "b", "link", -1.0), ("b", "a", "link", -1.0)])
     with pytest.raises(ValueError):
