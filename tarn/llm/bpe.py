@@ -6,7 +6,9 @@ neighbouring ranks are refreshed, until no pair can merge. Words of like length
 takes a step of many words at once. Words over `LONG_WORD` bytes take the same merges in the same order from a heap,
 so a text that is one enormous word stays near-linear.
 
-Words repeat: each worker keeps a bounded two-generation cache from white-space-separated chunks to ids.
+Words repeat: each worker keeps a bounded two-generation cache from white-space-separated chunks to ids. A few megabytes of
+text at a time, chunks are numbered by Arrow's dictionary encoding, so only different ones are looked up, and the ids of
+all are gathered by number in numpy.
 """
 
 from __future__ import annotations
@@ -70,6 +72,8 @@ class WordBpe:
         self.rule_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.special_start = {s[:2] for s in self.special}
+        # as chunks, special tokens stand after a space, which no chunk of text holds
+        self.special_ids = {f" {s}": i.to_bytes(4, "little") for s, i in self.special.items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -92,7 +96,7 @@ class WordBpe:
 
     def merge_rows(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of part ids, n of them used in each -> the same after all merges."""
-        out, length, rows = ids.copy(), n.copy(), np.arange(len(ids))
+        out, length, ids, rows = ids.copy(), n.copy(), ids.copy(), np.arange(len(ids))
         column = np.arange(ids.shape[1] - 1)
         ranks = np.where(column + 1 < n[:, None], self.rank_of(ids[:, :-1], ids[:, 1:]), NO_RANK)
         while rows.size:
@@ -108,8 +112,8 @@ class WordBpe:
             each = np.arange(len(at))
             ids[each, at] = least & ID_MASK
             # the boundary after part `at` goes: what follows moves up by one place
-            ids = np.take_along_axis(ids, np.minimum(np.arange(ids.shape[1]) + (np.arange(ids.shape[1]) > at[:, None]), ids.shape[1] - 1), 1)
-            ranks = np.take_along_axis(ranks, np.minimum(column + (column >= at[:, None]), len(column) - 1), 1)
+            ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(column[:-1] >= at[:, None], ranks[:, 1:], ranks[:, :-1])
             n = n - 1
             ranks[each, np.maximum(n - 1, 0)] = NO_RANK
             right, left = np.flatnonzero(at < n - 1), np.flatnonzero(at > 0)
@@ -119,8 +123,10 @@ class WordBpe:
 
     def merge_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(r) for r in raw])
+        _, offsets, data = pa.array(words, pa.large_string()).buffers()
+        at = np.frombuffer(offsets, np.int64)[: len(words) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)
+        sizes = np.diff(at)
         found: list[bytes] = [b""] * len(words)
         edges = [1, 6, 9, 12, 16, 24, 48, LONG_WORD + 1]
         for low, high in zip(edges, edges[1:]):
@@ -129,16 +135,18 @@ class WordBpe:
                 if not some.size:
                     continue
                 n, width = sizes[some], max(high - 1, 2)
-                flat = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in some), np.uint8).reshape(len(some), width)
-                ids = self.inner[flat]
-                ids[np.arange(len(some)), n - 1] = self.final[flat[np.arange(len(some)), n - 1]]
+                place = at[some][:, None] + np.arange(width)  # what lies beyond a word's end isn't looked at
+                ids = self.inner[raw[np.minimum(place, len(raw) - 1)]]
+                ids[np.arange(len(some)), n - 1] = self.final[raw[at[some] + n - 1]]
                 ids, n = self.merge_rows(ids, n)
                 packed = np.ascontiguousarray(ids, dtype="<u4").tobytes()
-                for k, (i, m) in enumerate(zip(some.tolist(), n.tolist())):
-                    found[i] = packed[4 * width * k : 4 * (width * k + m)]
+                first = np.arange(0, len(packed), 4 * width)
+                for i, j, k in zip(some.tolist(), first.tolist(), (first + 4 * n).tolist()):
+                    found[i] = packed[j:k]
         for i in np.flatnonzero(sizes > LONG_WORD).tolist():
-            ids = self.inner[np.frombuffer(raw[i], np.uint8)]
-            ids[-1] = self.final[raw[i][-1]]
+            word = raw[at[i] : at[i + 1]]
+            ids = self.inner[word]
+            ids[-1] = self.final[word[-1]]
             found[i] = np.array(self.merge_long(ids.tolist()), "<u4").tobytes()
         return found
 
@@ -162,16 +170,21 @@ class WordBpe:
                     heapq.heappush(heap, (r, left))
         return [x for x, live in zip(ids, alive) if live]
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Bring chunks into the cache's younger generation: from the older one, or encoded now."""
-        again = {c: self.old[c] for c in chunks & self.old.keys()}
-        self.young.update(again)
-        new = [*(chunks - again.keys())]
-        split = [self.split_words(c) for c in new]
-        words = [*{w for ws in split for w in ws}]
-        ids = dict(zip(words, self.merge_words(words)))
-        for c, ws in zip(new, split):
-            self.young[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        young = self.young
+        for kept in (self.special_ids, self.old):
+            again = [c for c in chunks if c in kept]
+            young.update(zip(again, map(kept.__getitem__, again)))
+            chunks = [c for c in chunks if c not in kept] if again else chunks
+        split = {c: ws for c in chunks if (ws := self.split_words(c)) != [c]}
+        # letters alone are the same as a word and as a chunk
+        words = [*{c for c in chunks if c not in split}.union(w for w in set().union(*split.values()) if not (w in young and w.isalpha()))]
+        ids_of = dict(zip(words, self.merge_words(words)))
+        young.update((c, ids) for c, ids in ids_of.items() if c.isalpha())
+        for c in chunks:
+            if c not in young:
+                young[c] = b"".join([ids_of[w] if w in ids_of else young[w] for w in split[c]]) if c in split else ids_of[c]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -181,6 +194,8 @@ class WordBpe:
 
     def split_words(self, chunk: str) -> list[str]:
         """The words of a normalised chunk without white space."""
+        if chunk.isalpha():  # all of it letters: one word
+            return [chunk]
         if not chunk.isascii() and "Cn" in map(unicodedata.category, chunk):
             # code points that this Python's tables don't know: the file's own normaliser and pattern say what they are
             return [w for w, _ in self.rule_split.pre_tokenize_str(self.rule_normal.normalize_str(chunk))]
@@ -198,24 +213,31 @@ class WordBpe:
         return out + self.encode_some(some)
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
-        parts = []  # per text its chunks and, as numbers, its special tokens
+        chunks: list[str] = []
+        ends = []  # per text, how many chunks there are up to its end
         for text in texts:
             if any(s in text for s in self.special_start):
-                chunks: list = []
                 for i, p in enumerate(self.specials.split(text)):
-                    chunks += [self.special[p].to_bytes(4, "little")] if i % 2 else self.split(self.normal(p))
-                parts.append(chunks)
+                    chunks += [f" {p}"] if i % 2 else self.split(self.normal(p))
             else:
-                parts.append(self.split(self.normal(text)))
+                chunks += self.split(self.normal(text))
+            ends.append(len(chunks))
         if len(self.young) > CACHE_ENTRIES:  # the older generation goes
             self.old, self.young = self.young, {}
-        seen: set = set().union(*parts)
-        new = {c for c in seen - self.young.keys() if type(c) is str}
-        if new:
+        numbered = pa.array(chunks, pa.large_string()).dictionary_encode()
+        chunks.clear()
+        different, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        if new := [c for c in different if c not in self.young]:
             self.learn(new)
-        fixed = {c: c for c in seen if type(c) is bytes}
-        lookup = ({**self.young, **fixed} if fixed else self.young).__getitem__
-        return [b"".join(map(lookup, chunks)) for chunks in parts]
+        ids_of = [*map(self.young.__getitem__, different)]
+        n = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        first, count = (np.cumsum(n) - n)[number], n[number]
+        end = np.cumsum(count)
+        at = np.repeat(first - end + count, count)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(ids_of), "<u4")[at].tobytes()
+        cuts = (4 * np.concatenate([[0], end])[[0, *ends]]).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def split(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), but not to the vocabulary's pattern

@@ -148,3 +148,13 @@ def test_hot_length_is_dealt_out(spark, monkeypatch):
     got = packing.pack(rows, 64).collect()
     places = {(r["sequence_id"], r["offset"]) for r in got}
     assert len(places) == len(got) == 1000 and len({r["doc_id"] for r in got}) == 1000
+
+
+def test_words_are_merged_once(oracle, monkeypatch):
+    """What a chunk's words have in common with chunks before isn't merged again; equal chunks are looked up once."""
+    made = bpe.WordBpe(open(registry.vocabulary(), encoding="utf-8").read())
+    merged = []
+    monkeypatch.setattr(made, "merge_words", lambda words, run=made.merge_words: merged.append(sorted(words)) or run(words))
+    for text in ("abcde xyzzy", "abcde, (xyzzy) abcde. Abcde,", "<|ENDOFTEXT|> abcde<|endoftext|>'s ͸a"):
+        assert made.encode(text) == packed(oracle.encode(text, add_special_tokens=False).ids)
+    assert merged[:2] == [["abcde", "xyzzy"], ["(", ")", ",", "."]]
