@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import BROADCAST_ROWS, dealt, durable, hinted
+from ..plans.durable import BROADCAST_ROWS, bucketed, dealt, durable, hinted, tasks
 from .graph import OUT, Graph
 
 
@@ -28,52 +30,153 @@ def living(graph: Graph, pairs: DataFrame, n: int) -> DataFrame:
     return pairs.join(hinted(alive.toDF("a"), 2 * n), "a", "left_semi").join(hinted(alive.toDF("b"), 2 * n), "b", "left_semi")
 
 
+class Arcs:
+    """A graph's edges, walked both ways as src, dst. They are written once, unshuffled; a frontier too large to be broadcast meets
+    them in a table bucketed by source, which is made when it is first needed, so that they stay put. `close` drops it."""
+
+    def __init__(self, graph: Graph):
+        one_way = durable(graph.edges.select("src", "dst").where("src <> dst"), "arcs")  # read every round; a loop is on no path
+        self.n = 2 * one_way.count()
+        self.plain = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        self.table, self.by_src = f"arcs_{uuid.uuid4().hex}", None
+
+    def near(self, n: int) -> DataFrame:
+        """The arcs for a frontier of n rows."""
+        if n <= BROADCAST_ROWS:
+            return self.plain
+        if self.by_src is None:
+            buckets = tasks(self.plain.sparkSession, self.n)
+            self.by_src = bucketed(self.plain.repartition(buckets, "src").distinct(), self.table, buckets, "src")
+        return self.by_src
+
+    def steps(self, frontier: DataFrame, n: int) -> int:
+        """Steps from a frontier (id) of n rows, counted without making them."""
+        at = frontier.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"))
+        return self.near(n).join(hinted(at, n), "src").agg(F.sum("n")).first()[0] or 0
+
+    def between(self, a: DataFrame, n_a: int, b: DataFrame, n_b: int) -> tuple[DataFrame, int]:
+        """The arcs from nodes of a to nodes of b (ids, of n rows each), and how many."""
+        arcs = self.near(n_a).join(hinted(a.select(F.col("id").alias("src")).distinct(), n_a), "src", "left_semi")
+        arcs = durable(arcs.join(hinted(b.select(F.col("id").alias("dst")).distinct(), n_b), "dst", "left_semi").select("src", "dst"), "between")
+        return arcs, arcs.count()
+
+    def close(self) -> None:
+        if self.by_src is not None:
+            self.plain.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def whole_paths(ahead: DataFrame, rest: DataFrame) -> DataFrame:
+    """The least path of each pair where what is walked from its two ends (pair, id, path) meets."""
+    met = ahead.join(rest.withColumnRenamed("path", "rest"), ["pair", "id"])
+    return met.groupBy("pair").agg(F.min(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))).alias("path"))
+
+
+def over_one_node(arcs: Arcs, a: DataFrame, b: DataFrame, n_a: int, n_b: int, first: tuple[bool, bool]) -> DataFrame:
+    """pair, path of the pairs whose frontiers a and b (pair, id, path) are two steps apart: the least path of each.
+
+    Both are walked one step on, pair by pair, while that is no more steps than there are arcs. Where pairs meet at nodes that
+    many of them share, it could be the square of that; then the least rows of each pair's a are tried first, as any path on
+    from them is less than all others. Two steps are walked from each different one of their nodes, once for all pairs, and
+    only pairs that don't get to their b so try their next rows, eight times as many.
+    """
+    found, tried, width = [], 0, 1
+    while True:
+        steps = (arcs.steps(a, n_a), arcs.steps(b, n_b))
+        if sum(steps) > max(arcs.n, BROADCAST_ROWS):
+            rank = F.row_number().over(Window.partitionBy("pair").orderBy("path"))
+            batch = durable(a.withColumn("rank", rank).where(F.col("rank") <= tried + width).where(F.col("rank") > tried), "tried")
+            n = batch.count()
+            roots = durable(batch.select("id").distinct(), "roots")
+            n_roots = roots.count()
+            once = arcs.near(n_roots).join(hinted(roots.toDF("src"), n_roots), "src").select(F.col("src").alias("root"), F.col("dst").alias("id"))
+            n_once = arcs.steps(roots, n_roots)
+            shared = arcs.steps(once, n_once)
+        if sum(steps) <= max(arcs.n, BROADCAST_ROWS) or not n or shared + width * n_b >= sum(steps):
+            ahead = [spread(arcs.near(n), rows, n, many, i == 0, first[i]) for i, (rows, n, many) in enumerate(zip((a, b), (n_a, n_b), steps))]
+            found.append(whole_paths(*ahead))
+            break
+        twice = arcs.near(n_once).join(hinted(once.withColumnRenamed("id", "src"), n_once), "src").select("root", F.col("dst").alias("id"), F.col("src").alias("over"))
+        twice = dealt(twice, ["root", "id"], shared).groupBy("root", "id").agg(F.min("over").alias("over"))
+        asked = b.select("pair", "id").join(hinted(batch.select("pair", "rank", F.col("id").alias("root")), n), "pair")
+        least = F.min(F.struct("rank", "over", "id")).alias("least")  # what is ranked by its path, and a path to b that begins with id
+        met = durable(asked.join(twice, ["root", "id"]).groupBy("pair").agg(least).select("pair", "least.*"), "least")
+        n = met.count()
+        met = b.withColumnRenamed("path", "rest").join(hinted(met, n), ["pair", "id"]).select("pair", "rank", "over", "rest")
+        met = durable(batch.select("pair", "rank", "path").join(hinted(met, n), ["pair", "rank"]).select("pair", F.concat("path", F.array("over"), "rest").alias("path")), "met")
+        found.append(met)
+        a, b = (rows.join(hinted(met.select("pair"), n), "pair", "left_anti") for rows in (a, b))
+        n_a, n_b = a.count(), b.count()
+        if not n_a or not n_b:
+            break
+        tried, width = tried + width, 8 * width
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 def shortest(graph: Graph, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
     """pairs (pair, a, b) -> pair, hops, path (ids) of a shortest path of at most max_depth hops, directions ignored.
 
     Both ends are walked towards each other, the side with the smaller frontier first; pairs that met, or have one side
     used up, drop out. Of several shortest paths the one with the least ids in order is returned. a = b is a path of one node.
 
-    A new level, often by far the largest, is first only met with the other side's; what is written of it are the nodes of
-    pairs that are still apart once it has to be walked on, or both sides' new levels have met.
+    A new level, often by far the largest, is first only met with the other side's: over the arcs from one to the other, or
+    over the nodes next to both. What is written of it are the nodes of pairs that are still apart once it has to be walked
+    on, or both sides' new levels have met.
     """
-    arcs = durable(graph.edges.select("src", "dst"), "arcs")  # read every round, both ways
-    edges = arcs.count()
-    arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    live = living(graph, pairs, pairs.count())
+    arcs = Arcs(graph)
+    try:
+        return met_in_the_middle(arcs, living(graph, pairs, pairs.count()), max_depth)
+    finally:
+        arcs.close()
+
+
+def met_in_the_middle(arcs: Arcs, live: DataFrame, max_depth: int) -> DataFrame:
+    """`shortest` for pairs of nodes. The result reads nothing but what was written, so the arcs can be closed."""
     written = [durable(live.select("pair", F.col(c).alias("id"), F.array(c).alias("path")), "side") for c in ("a", "b")]
     seen, depth, ahead = [*written], [0, 0], [False, False]  # ahead: the side's level is one step on from what is written
     sizes = [s.count() for s in written]
     counts, passed = [*sizes], [*sizes]  # rows written of the level, of all levels
     hops, found = 0, None
 
-    def level(i: int) -> DataFrame:
-        return spread(arcs, written[i], counts[i], sizes[i], i == 0, depth[i] == 0) if ahead[i] else written[i]
+    def step_on(i: int, over: DataFrame, steps: int) -> DataFrame:
+        return spread(over, written[i], counts[i], steps, i == 0, depth[i] == 0)
 
     while True:
         # a node of an earlier level can't meet: its pair would have met earlier
-        met = level(0).join(level(1).withColumnRenamed("path", "rest"), ["pair", "id"])
-        whole = met.groupBy("pair").agg(F.min(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))).alias("path"))
-        whole = durable(whole.select("pair", F.lit(hops).alias("hops"), "path"), "met")
-        found = whole if found is None else found.unionByName(whole)
+        if all(ahead):
+            whole = over_one_node(arcs, *written, *counts, (depth[0] == 0, depth[1] == 0))
+        elif any(ahead):
+            i = ahead.index(True)
+            to, n = arcs.between(written[i], counts[i], written[1 - i], counts[1 - i])
+            ways = [written[j] if j != i else step_on(i, to, min(n * counts[i], sizes[i])) for j in (0, 1)]
+            whole = whole_paths(*ways) if n else None
+        else:
+            whole = whole_paths(*written)
+        n = 0
+        if whole is not None:
+            whole = durable(whole.select("pair", F.lit(hops).alias("hops"), "path"), "met")
+            found = whole if found is None else found.unionByName(whole)
+            n = whole.count()
         if hops == max_depth:
             return found
-        if n := whole.count():
+        if n:
             written = [w.join(hinted(whole.select("pair"), n), "pair", "left_anti") for w in written]
             counts = [w.count() for w in written]
-            sizes = [stepped(arcs, w, c, edges) if a else c for w, c, a in zip(written, counts, ahead)]
+            sizes = [arcs.steps(w, c) if a and c else c for w, c, a in zip(written, counts, ahead)]
         if not all(sizes):
             return found
         i = int(sizes[1] < sizes[0])
         for j in [j for j in (0, 1) if ahead[j] and (ahead[1 - j] or i == j)]:
-            fresh = level(j).join(hinted(seen[j].select("pair", "id"), passed[j]), ["pair", "id"], "left_anti")
+            fresh = step_on(j, arcs.near(counts[j]), sizes[j]).join(hinted(seen[j].select("pair", "id"), passed[j]), ["pair", "id"], "left_anti")
             written[j], ahead[j], depth[j] = durable(fresh, "side"), False, depth[j] + 1
             counts[j] = sizes[j] = written[j].count()
             seen[j], passed[j] = seen[j].unionByName(written[j]), passed[j] + counts[j]
         if not all(sizes):
             return found
         i = int(sizes[1] < sizes[0]) if not any(ahead) else i
-        ahead[i], sizes[i] = True, stepped(arcs, written[i], counts[i], edges)
+        ahead[i], sizes[i] = True, arcs.steps(written[i], counts[i])
         hops += 1
 
 

@@ -708,7 +708,8 @@ def graph_impact(spark, sf_dir):
 @query(f"""WITH {D.graph_sql()}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p AS (SELECT id AS a, id + 1 AS b FROM nodes WHERE node_type = 'supplier' AND id + 1 IN (SELECT id FROM nodes))
 SELECT p.a AS pair, 2 AS hops, p.a || '>' || min(x.dst) || '>' || p.b AS path FROM p JOIN b x ON x.src = p.a JOIN b y ON y.src = x.dst AND y.dst = p.b GROUP BY p.a, p.b""")
 def graph_path(spark, sf_dir):
-    """From each supplier to the next: never one hop, as no edge joins suppliers, and always two, over what they share."""
+    """From each supplier to the next: never one hop, as no edge joins suppliers; two over what they share, as in the SQL, and
+    four where they share nothing, which is the more common the more suppliers there are."""
     g = D.graph(spark, sf_dir)
     pairs = graph.list_by_type(g, "supplier").select(F.col("id").alias("pair"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return paths.shortest(g, pairs, 4).select("pair", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))

@@ -322,3 +322,50 @@ def test_pagerank_meets_roots_once(spark, monkeypatch):
         rank = {x: 0.015 + 0.85 * (lost / 10 + sum(rank[a[0]] / sum(b[0] == a[0] for b in arcs) for a in arcs if a[1] == x)) for x in nodes}
     assert len(got) == 10 and all(abs(got[i] - rank[x]) < 1e-12 for i, x in enumerate(nodes))
     assert [n for name, n in written if name == "ranks"] == [5, 5, 5]
+
+
+def test_shortest_walks_shared_nodes_once(spark, monkeypatch):
+    """Pairs that meet four hops on, over two nodes with many leaves: what is walked is no product of pairs and leaves."""
+    monkeypatch.setattr(paths, "BROADCAST_ROWS", 100)
+    walked = []
+    monkeypatch.setattr(paths, "dealt", lambda df, keys, rows, deal=paths.dealt: walked.append(df.count()) or deal(df, keys, rows))
+    n, leaves = 30, [f"l{i}" for i in range(400)]
+    nodes = ["r", "n", "m", "x", *leaves, *(f"{c}{i}" for c in "abpq" for i in range(n)), "c", "d", "u", "v", "w"]
+    edges = [("n", "r"), ("m", "r"), *((leaf, "nm"[i % 2]) for i, leaf in enumerate(leaves))]
+    edges += [e for i in range(n) for e in ((f"a{i}", "n"), (f"b{i}", "m"), (f"a{i}", f"p{i}"), (f"b{i}", f"q{i}"))]
+    edges += [("c", "x"), ("c", "u"), ("u", "v"), ("v", "w"), ("w", "d")]  # c's least neighbour leads nowhere
+    at = {name: i for i, name in enumerate(nodes)}
+    pairs = [(i, at[f"a{i}"], at[f"b{i}"]) for i in range(n)] + [(n, at["c"], at["d"]), (n + 1, at["c"], at["r"])]
+    got = paths.shortest(made(spark, nodes, [(*e, "link", 1.0) for e in edges]), spark.createDataFrame(pairs, "pair int, a bigint, b bigint"), 4)
+    expected = [(i, 4, [at[f"a{i}"], at["n"], at["r"], at["m"], at[f"b{i}"]]) for i in range(n)] + [(n, 4, [at[x] for x in "cuvwd"])]
+    assert sorted((r["pair"], r["hops"], r["path"]) for r in got.collect()) == expected
+    assert max(walked) <= 2 * len(edges)  # pair by pair, each side's step alone is 30 times 200 leaves
+    assert not spark.sql("SHOW TABLES").where("tableName like 'arcs_%'").count()
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_shortest_like_breadth_first(spark, monkeypatch, few):
+    """Broadcast or not, walked for each pair or once for all: the least of the shortest paths."""
+    from tarn.plans import durable
+
+    monkeypatch.setattr(durable, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(paths, "BROADCAST_ROWS", few)
+    names = [f"n{i}" for i in range(70)]
+    edges = [(i, (i * i + 7 * j + 1) % 64) for i in range(64) for j in range(1 + (i % 3 == 0))] + [(3, i) for i in range(20, 60, 4)] + [(66, 67)] * 2
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(70)}
+    pairs = [(q, 5 * q % 70, (11 * q + 33) % 70) for q in range(60)]
+    expected = []
+    for q, a, b in pairs:
+        level, seen = {a: [a]}, {a}
+        for hops in range(6):
+            if b in level:
+                expected.append((q, hops, level[b]))
+                break
+            following = {}
+            for x, path in level.items():
+                for y in near[x] - seen:
+                    following[y] = min(following.get(y, [99]), [*path, y])
+            level, seen = following, seen | set(following)
+    got = paths.shortest(made(spark, names, [(names[a], names[b], "link", 1.0) for a, b in edges]), spark.createDataFrame(pairs, "pair int, a bigint, b bigint"), 5)
+    assert sorted((r["pair"], r["hops"], r["path"]) for r in got.collect()) == expected
+    assert len({hops for _, hops, _ in expected}) > 3
